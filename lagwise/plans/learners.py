@@ -11,7 +11,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FEATURES = "features"
+MAX_LEVELS = 1000
 
 
 def impute_flags(
@@ -65,34 +66,20 @@ def tree_inputs(numeric: Sequence[str], categorical: Sequence[str]) -> list:
     return stages
 
 
-def one_hot_inputs(numeric: Sequence[str], categorical: Sequence[str]) -> list:
-    """Design matrix stages: one-hot with the alphabetically first level left out.
-
-    Levels are learnt from the training rows only and reused for every other row; an unseen
-    level becomes all zeros.
-    """
-    indexed = [f"{c}_ix" for c in categorical]
-    hot = [f"{c}_oh" for c in categorical]
-    return [
-        StringIndexer(
-            inputCols=list(categorical),
-            outputCols=indexed,
-            handleInvalid="keep",
-            stringOrderType="alphabetDesc",
-        ),
-        OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=False),
-        VectorAssembler(inputCols=[*numeric, *hot], outputCol="_all"),
-    ]
-
-
 def design_matrix(
     train: DataFrame, df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
 ) -> tuple[DataFrame, list[str]]:
     """One numeric column per design-matrix term, and the list of those columns.
 
     Levels are the distinct values of the training rows in alphabetical order, first level
-    dropped, plus an intercept. The level lists are category names, a handful per column.
+    dropped, plus an intercept. They are learnt once and reused for every row; an unseen level
+    becomes all zeros. A column with more than MAX_LEVELS values is refused before its levels
+    are read to the driver.
     """
+    sizes = train.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
+    large = [c for c in categorical if sizes[c] > MAX_LEVELS]
+    if large:
+        raise ValueError(f"too many levels for a design matrix: {large}")
     terms: dict[str, Column] = {"intercept": F.lit(1.0)}
     for name in numeric:
         terms[name] = F.col(name).cast("double")
