@@ -641,7 +641,8 @@ def _encoding_rows(spark, folder):
     keys = list(dict.fromkeys(k for e in second.ENCODINGS for k in e.keys))
     base = second_base(spark, folder)
     prior = base.filter(F.col("test") == 0).agg(F.avg("y").alias("p")).scalar()
-    return base.select("projectid", "y", "test", *keys).withColumn("p", prior)
+    rows = base.select("projectid", "y", "test", *keys).withColumn("p", prior)
+    return materialize(rows, "encoding-rows")
 
 
 @query

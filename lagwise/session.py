@@ -54,8 +54,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that no earlier run has used."""
-    return f"{shared_folder(spark)}/lagwise/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no earlier run has used.
+
+    Everything one application writes lies under its own id, so it can be removed as a whole
+    once the application has ended.
+    """
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/lagwise/{application}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -45,6 +45,8 @@ ESSAYS = """
 SCHOOLS = "school_ncesid STRING, school_type STRING"
 # ----------------------------------------------------------------------------------------
 
+POSITION = "load_position"
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -69,12 +71,18 @@ def declared(name: str) -> str:
     }[name]
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, multiline: bool = False) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: str, multiline: bool = False, position: bool = False
+) -> DataFrame:
     """CSV with a header; columns are matched to the schema by header name, in any order.
 
     Quotes inside quoted fields are doubled. ``multiline`` also accepts line breaks inside
     quotes; such a file cannot be split, so store large text as several files or as Parquet.
+    ``position`` adds the load position (file, then row) for "first or last copy wins"; it
+    needs ``multiline``, because only unsplit files keep their row order.
     """
+    if position and not multiline:
+        raise ValueError("a load position needs unsplit files: set multiline")
     reader = (
         spark.read.option("header", True)
         .option("quote", '"')
@@ -92,7 +100,11 @@ def read_csv(spark: SparkSession, path: str, schema: str, multiline: bool = Fals
         f"`{name}` {by_name[name].dataType.simpleString() if name in by_name else 'STRING'}"
         for name in header
     )
-    return reader.schema(ddl).csv(path).select(*by_name)
+    scanned = reader.schema(ddl).csv(path)
+    if not position:
+        return scanned.select(*by_name)
+    place = F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id().alias("row"))
+    return scanned.select(*by_name, place.alias(POSITION))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -134,7 +146,9 @@ def load_folder(
         return f"{folder.rstrip('/')}/{names[name]}"
 
     tables = {
-        name: read_csv(spark, path(name), declared(name), multiline=name == "essays")
+        name: read_csv(
+            spark, path(name), declared(name), multiline=name == "essays", position=name == "essays"
+        )
         for name in ("projects", "outcomes", "donations", "resources", "essays")
     }
     dimension = spark.read.option("header", True).csv(path("schools"))
