@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values: patterns that define what a token is ---------------------------------
-ESCAPED_OR_UNWANTED = r"(?:\\[tnr]|[^A-Za-z0-9'])+"
+WRITTEN_ESCAPE = r"\\[tnr]"
+UNWANTED = r"[^A-Za-z0-9']+"
 RICH_TOKEN = r"\b[A-Za-z0-9()'\-?!\"%]+\b"
 LETTER_TOKEN = r"[a-zA-Z]+"
 # ----------------------------------------------------------------------------------------
@@ -44,7 +45,8 @@ def clean_text(text: Column, lower: bool = False) -> Column:
 
     Written-out escapes (backslash followed by t, n or r) count as unwanted. NULL gives ''.
     """
-    cleaned = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), ESCAPED_OR_UNWANTED, " "))
+    unescaped = F.regexp_replace(F.coalesce(text, F.lit("")), WRITTEN_ESCAPE, " ")
+    cleaned = F.trim(F.regexp_replace(unescaped, UNWANTED, " "))
     return F.lower(cleaned) if lower else cleaned
 
 

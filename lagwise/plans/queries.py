@@ -866,7 +866,7 @@ def _counts(spark, folder, largest: int, keep=()):
         "fold", scalars.even_fold(scalars.uniform_from_id(F.col("doc_id"), "text"), 5)
     )
     return docs, terms.term_counts(
-        docs, "doc_id", text.ngrams(text.letter_tokens(F.col("text")), largest), keep
+        docs, "doc_id", "text", text.ngrams(text.letter_tokens(F.col("text")), largest), keep
     )
 
 

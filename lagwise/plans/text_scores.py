@@ -104,7 +104,7 @@ def score_fixed_vocabulary(
         even_fold(uniform_from_id(F.col(doc), "text"), folds).alias("_fold"),
     )
     tokens = ngrams(rich_tokens(F.col(field.column)), field.largest_ngram)
-    counts = materialize(term_counts(docs, doc, tokens), "terms")
+    counts = materialize(term_counts(docs, doc, field.column, tokens), "terms")
     vocabulary = document_frequency(counts, field.min_df)
     total = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     table = vectors(base, doc, tfidf_weights(counts, doc, vocabulary, total), bits)
@@ -147,7 +147,9 @@ def score_refitted_vocabulary(
     )
     tokens = ngrams(letter_tokens(F.col(field.column)), field.largest_ngram)
     marked = docs.withColumns({"_split": F.col(split), "_fold": fold})
-    counts = materialize(term_counts(marked, doc, tokens, keep=["_split", "_fold"]), "terms")
+    counts = materialize(
+        term_counts(marked, doc, field.column, tokens, keep=["_split", "_fold"]), "terms"
+    )
 
     is_train = F.col("_split") == "train"
     scopes: dict[str, Column] = {
