@@ -65,9 +65,12 @@ def lookup_join(
         F.when(F.col("_hot"), F.pmod(F.xxhash64(row_id), F.lit(SALTS)).cast("int") + 1).otherwise(0),
     )
 
+    # always 0, but taken from a column: a literal would be folded into a filter on the row
+    # side and the salt would no longer be part of the shuffle key
+    no_salt = F.least(F.col(weight), F.lit(0)).cast("int")
     rest = named.select(
         *[f"_l_{k}" for k in keys],
-        F.lit(0).alias("_l_salt"),
+        no_salt.alias("_l_salt"),
         *[F.col(v).alias(f"_l_{v}") for v in values],
     )
     matches = [marked[k].eqNullSafe(rest[f"_l_{k}"]) for k in keys]
