@@ -6,8 +6,12 @@ self-joins or correlated counts, so that both cannot share a mistake.
 
 from __future__ import annotations
 
+import re
+
 from lagwise.plans import first, second
 
+TIE_SHIFT = 0.123
+
 
 def _tf(condition: str) -> str:
     return f"CASE WHEN {condition} THEN 't' ELSE 'f' END"
@@ -248,7 +252,30 @@ def joined(parts: dict[str, str]) -> tuple[str, str]:
     return ctes, clause
 
 
+def shift_rounding(sql: str) -> str:
+    """Turn every round(x, n) into round((x) + shift, n), the rounding the queries use."""
+    out, position = [], 0
+    for match in re.finditer(r"(?<![a-z_])round\(", sql):
+        if match.start() < position:
+            raise ValueError("nested round")
+        depth, comma, end = 1, 0, match.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            if sql[end] == "," and depth == 1:
+                comma = end
+            end += 1
+        digits = int(sql[comma + 1 : end - 1])
+        value = sql[match.end() : comma]
+        out.append(f"{sql[position:match.start()]}round(({value}) + {TIE_SHIFT * 10.0**-digits!r}")
+        position = comma
+    return "".join(out) + sql[position:]
+
+
 def build() -> dict[str, str]:
+    return {name: shift_rounding(text) for name, text in _build().items()}
+
+
+def _build() -> dict[str, str]:
     sql: dict[str, str] = {}
     base = "total_price_excluding_optional_support"
     full = "total_price_including_optional_support"
@@ -520,7 +547,7 @@ def build() -> dict[str, str]:
         f"""SELECT projectid, round(total, 4) AS i_price_ttl_schoolid,
           CAST(start AS VARCHAR) AS min_date_posted_schoolid,
           CAST(date_diff('day', start, last_date_posted) AS INT) AS ttl_days_schoolid,
-          round(total / nullif(date_diff('day', start, last_date_posted), 0), 4)
+          round(total / nullif(date_diff('day', start, last_date_posted), 0), 8)
             AS i_price_per_day_schoolid
         FROM d JOIN (SELECT schoolid, sum({full}) AS total, min(date_posted) AS start
           FROM d GROUP BY 1) USING (schoolid)""", "d",

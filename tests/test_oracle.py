@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry_point
-from compare import connect, spark_rows, sql_rows
+from compare import connect, same, spark_rows, sql_rows
 
 ORACLE = entry_point.oracle_sql()
 QUERIES = entry_point.queries()
@@ -26,7 +26,8 @@ def test_matches_sql(spark, folder, database, name):
     sql_names, expected = sql_rows(database, ORACLE[name])
     assert names == sql_names
     assert len(rows) == len(expected)
-    assert rows == expected
+    differing = [(a, b) for a, b in zip(rows, expected) if not same(a, b)]
+    assert differing == []
 
 
 def test_every_sql_has_a_query():
