@@ -9,14 +9,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagwise.functions import dates, scalars, text
-from lagwise.operators.assemble import blank_as_other, conditional_rollup, donor_rollup, star
+from lagwise.operators.assemble import (
+    blank_as_other,
+    conditional_rollup,
+    donor_rollup,
+    keep_first,
+    star,
+)
 from lagwise.operators.calendar import trailing_rate
 from lagwise.operators.lookback import entity_history
 from lagwise.operators.splits import training_mask
 from lagwise.plans import learners
 from lagwise.plans.text_scores import FIRST_SCHEME, TextField, score_columns
 from lagwise.session import materialize
-from lagwise.sources.tables import Tables
+from lagwise.sources.tables import Tables, one_essay
 
 # --- fixed values: entities, labels, codes, features, sizes ------------------------------
 HISTORY_KEYS = [
@@ -219,17 +225,15 @@ def prior_rates() -> dict[str, Column]:
     }
 
 
-def credibility_rates(df: DataFrame, s: FirstSettings) -> DataFrame:
-    """Add the overall rate ``pred0`` and the shrunk rates of teacher and school.
+def overall_rate(labelled: DataFrame) -> Column:
+    """Mean of ``y`` over train and val rows as a one-row scalar subquery."""
+    used = labelled.filter(training_mask("split", include_validation=True))
+    return used.agg(F.avg("y").alias("pred0")).scalar()
 
-    Needs ``split`` and ``y``. The overall rate is a one-row scalar subquery.
-    """
-    prior = (
-        df.filter(training_mask("split", include_validation=True))
-        .agg(F.avg("y").alias("pred0"))
-        .scalar()
-    )
-    with_prior = df.withColumn("pred0", prior)
+
+def credibility_rates(df: DataFrame, pred0: Column) -> DataFrame:
+    """Add the overall rate ``pred0`` and the shrunk rates of teacher and school."""
+    with_prior = df.withColumn("pred0", pred0)
 
     def shrunk(key: str) -> Column:
         return scalars.credibility_rate(
@@ -255,8 +259,16 @@ def calendar_columns(s: FirstSettings) -> dict[str, Column]:
     }
 
 
-def derive(df: DataFrame, s: FirstSettings) -> DataFrame:
-    """All derived columns of the assembled table, in three projections."""
+def derive(df: DataFrame, tables: Tables, s: FirstSettings) -> DataFrame:
+    """All derived columns of the assembled table, in three projections.
+
+    The overall rate is taken from projects and outcomes alone, so that the subquery does not
+    run the whole assembly a second time.
+    """
+    split = dates.split_by_date(F.col("date_posted"), training_cuts(s))
+    narrow = tables.projects.join(tables.outcomes, "projectid", "left").select(
+        split.alias("split"), labels()["y"].alias("y")
+    )
     price_per_student = F.try_divide("total_price_excluding_optional_support", "students_reached")
     text_columns = {
         f"{f.column}_y_pp": scalars.first_scored(
@@ -277,14 +289,18 @@ def derive(df: DataFrame, s: FirstSettings) -> DataFrame:
             "price_per_student_imp": F.coalesce(price_per_student, F.lit(0.0)),
         }
     )
-    return credibility_rates(derived, s)
+    return credibility_rates(derived, overall_rate(narrow))
 
 
 def text_features(tables: Tables, s: FirstSettings) -> DataFrame:
-    """Text scores and lengths per project, from cleaned texts of projects after the start."""
+    """Text scores and lengths per project, from cleaned texts of projects after the start.
+
+    Of several essays of a project the first counts.
+    """
     cuts = history_cuts(s)
+    essays = one_essay(tables.essays, keep_first)
     docs = (
-        tables.essays.join(
+        essays.join(
             tables.projects.select("projectid", "date_posted"), "projectid", "inner"
         )
         .join(tables.outcomes.select("projectid", "is_exciting"), "projectid", "left")
@@ -364,7 +380,7 @@ def run(tables: Tables, s: FirstSettings = FirstSettings()) -> DataFrame:
     The submission keeps the test rows: ``run(...).filter("split = 'test'")``.
     """
     features = materialize(
-        derive(assemble(tables, s, text_features(tables, s)), s), "first-features"
+        derive(assemble(tables, s, text_features(tables, s)), tables, s), "first-features"
     )
     first = materialize(
         boosted_scores(features, "pred_v1", s.trees(TREES_FIRST), s), "first-scores"

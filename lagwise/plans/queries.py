@@ -378,16 +378,18 @@ def credibility_rate(spark, folder):
     base = first.history_base(fixtures.load(spark, folder), FIRST)
     histories = first.histories(base, FIRST)
     joined = (
-        base.select("projectid", "date_posted", "y")
+        base.select("projectid")
         .join(histories["teacher_acctid"], "projectid")
         .join(histories["schoolid"], "projectid")
-        .withColumn("split", dates.split_by_date(posted(), first.training_cuts(FIRST)))
     )
     names = [
         "pred0", "teacher_acctid_y_prev_rate_cred", "schoolid_y_prev_rate_cred",
         "schoolid_y_prev_rate_cred_cap",
     ]
-    rated = first.credibility_rates(joined, FIRST)
+    labelled = base.select(
+        "y", dates.split_by_date(posted(), first.training_cuts(FIRST)).alias("split")
+    )
+    rated = first.credibility_rates(joined, first.overall_rate(labelled))
     return rated.select("projectid", *[rounded(n).alias(n) for n in names])
 
 
@@ -954,7 +956,7 @@ def _first_features(spark, folder):
 
     def build():
         scores = first.text_features(loaded, FIRST)
-        return first.derive(first.assemble(loaded, FIRST, scores), FIRST)
+        return first.derive(first.assemble(loaded, FIRST, scores), loaded, FIRST)
 
     return stored(spark, folder, "first-features", build)
 

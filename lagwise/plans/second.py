@@ -18,7 +18,7 @@ from lagwise.operators.lookback import Prior, look_back
 from lagwise.plans import learners
 from lagwise.plans.text_scores import SECOND_SCHEME, TextField, score_refitted_vocabulary
 from lagwise.session import materialize
-from lagwise.sources.tables import POSITION, Tables
+from lagwise.sources.tables import Tables, one_essay
 
 # --- fixed values: flags, codes, encodings, features, sizes ------------------------------
 STRICT_FLAGS = [
@@ -169,13 +169,6 @@ def project_list(d: DataFrame) -> DataFrame:
     return d.select("projectid", "validation", "test", "y")
 
 
-def one_copy(essays: DataFrame, pick) -> DataFrame:
-    """First or last copy per trimmed project id, where the source carries a load position."""
-    if POSITION not in essays.columns:
-        return essays
-    return pick(essays, F.trim(F.col("projectid")), "projectid", POSITION)
-
-
 def routed_essays(tables: Tables, projects: DataFrame) -> DataFrame:
     """Essays of listed projects with their split; the last copy of an essay counts."""
     split = (
@@ -183,14 +176,14 @@ def routed_essays(tables: Tables, projects: DataFrame) -> DataFrame:
         .when(F.col("test") == 0, "validation")
         .otherwise("test")
     )
-    essays = one_copy(tables.essays, assemble.keep_last).drop(POSITION)
+    essays = one_essay(tables.essays, assemble.keep_last)
     return essays.join(projects, "projectid", "inner").withColumn("split", split)
 
 
 def token_counts(essays: DataFrame) -> DataFrame:
     """Words of the four raw text fields per project; the first copy of an essay counts."""
     names = ["title", "short_description", "need_statement", "essay"]
-    return one_copy(essays, assemble.keep_first).select(
+    return one_essay(essays, assemble.keep_first).select(
         "projectid",
         *[text.word_count(text.strip_nul(F.col(c))).alias(f"{c}_cnt") for c in names],
     )

@@ -50,7 +50,11 @@ POSITION = "load_position"
 
 @dataclass(frozen=True)
 class Tables:
-    """The six logical tables both plans start from."""
+    """The six logical tables both plans start from.
+
+    ``essays`` may hold several copies per project if it has a load position (see
+    ``one_essay``); without one its project ids must be unique.
+    """
 
     projects: DataFrame
     outcomes: DataFrame
@@ -124,6 +128,13 @@ def write_submission(df: DataFrame, path: str, columns: list[str]) -> None:
     write_csv(df.select(*columns), path)
 
 
+def one_essay(essays: DataFrame, pick) -> DataFrame:
+    """First or last copy per trimmed project id; ``pick`` is keep_first or keep_last."""
+    if POSITION not in essays.columns:
+        return essays
+    return pick(essays, F.trim(F.col("projectid")), "projectid", POSITION).drop(POSITION)
+
+
 def school_types(
     df: DataFrame, id_column: str = "school_ncesid", type_column: str = "School.Type"
 ) -> DataFrame:

@@ -41,7 +41,7 @@ def test_first_and_last_copy_by_load_position(spark, tmp_path):
     essays = tables.read_csv(spark, str(path), tables.ESSAYS, multiline=True, position=True)
     first_words = {r.projectid: r.title_cnt for r in second.token_counts(essays).collect()}
     assert first_words == {"p1": 2, "p2": 1}
-    last = second.one_copy(essays, assemble.keep_last)
+    last = tables.one_essay(essays, assemble.keep_last)
     assert {r.projectid: r.title for r in last.collect()} == {"p1": "three", "p2": "x"}
     with pytest.raises(ValueError, match="unsplit"):
         tables.read_csv(spark, str(path), tables.ESSAYS, position=True)
