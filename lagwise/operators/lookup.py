@@ -90,11 +90,14 @@ def group_mean(
     row_id: str,
     means: dict[str, tuple[str, bool]],
     small: bool = False,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Attach group means: ``means`` maps a new name to (column, strict).
 
     A strict mean is NULL as soon as one value of the group is NULL; otherwise NULLs are
-    skipped.
+    skipped. ``source`` is the table the means are taken from, by default ``rows``; pass the
+    original table when ``rows`` already went through other joins, so those do not run again
+    below the aggregation.
     """
     aggregates = []
     for name, (column, strict) in means.items():
@@ -102,5 +105,6 @@ def group_mean(
         if strict:
             mean = F.when(F.count(column) == F.count(F.lit(1)), mean)
         aggregates.append(mean.alias(name))
-    lookup = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *aggregates)
+    table = rows if source is None else source
+    lookup = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *aggregates)
     return lookup_join(rows, lookup, keys, row_id, "_rows", small)

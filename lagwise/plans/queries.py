@@ -99,6 +99,11 @@ def second_base(spark: SparkSession, folder: str) -> DataFrame:
     return second.labelled(fixtures.load(spark, folder), SECOND)
 
 
+def stored_base(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The named columns of the labelled rows, written once for queries that read them often."""
+    return materialize(second_base(spark, folder).select("projectid", *columns), "base")
+
+
 # --- sources and sinks --------------------------------------------------------------------
 
 
@@ -319,7 +324,9 @@ def donor_history(spark, folder):
 
 @query
 def lag_features(spark, folder):
-    base = second_base(spark, folder)
+    base = stored_base(
+        spark, folder, "date_posted", "schoolid", "school_district", second.PRICE
+    )
     full = second.PRICE
     school = lookback.lag_features(
         base, "schoolid", "date_posted", "projectid", full,
@@ -339,7 +346,9 @@ def lag_features(spark, folder):
 
 @query
 def prior_extremes(spark, folder):
-    base = second_base(spark, folder)
+    base = stored_base(
+        spark, folder, "date_posted", "school_city", "school_zip", second.PRICE
+    )
     full = second.PRICE
     highest = lookback.prior_extreme(
         base, "school_city", "date_posted", "projectid", full, "max", "i_price_school_city_cummax"
@@ -493,8 +502,8 @@ def donation_cumulative(spark, folder):
 
 @query
 def group_mean_back(spark, folder):
-    base = second_base(spark, folder).select(
-        "projectid", "school_city", "schoolid", PRICE, "optional_support", "school_metro"
+    base = stored_base(
+        spark, folder, "school_city", "schoolid", PRICE, "optional_support", "school_metro"
     )
     by_city = lookup.group_mean(
         base, ["school_city"], "projectid",
@@ -504,10 +513,10 @@ def group_mean_back(spark, folder):
         },
     )
     by_school = lookup.group_mean(
-        by_city, ["schoolid"], "projectid", {"price_schoolid": (PRICE, True)}
+        by_city, ["schoolid"], "projectid", {"price_schoolid": (PRICE, True)}, source=base
     )
     by_metro = lookup.group_mean(
-        by_school, ["school_metro"], "projectid", {"price_metro": (PRICE, False)}
+        by_school, ["school_metro"], "projectid", {"price_metro": (PRICE, False)}, source=base
     )
     names = ["price_school_city", "optional_support_mean_school_city", "price_schoolid", "price_metro"]
     return by_metro.select("projectid", *[rounded(n, 4).alias(n) for n in names])
@@ -515,7 +524,9 @@ def group_mean_back(spark, folder):
 
 @query
 def school_intensity(spark, folder):
-    base = second_base(spark, folder)
+    base = stored_base(
+        spark, folder, "date_posted", "schoolid", "last_date_posted", second.PRICE
+    )
     daily = calendar.day_profile(
         base, ["schoolid"], "date_posted", _p=F.sum(second.PRICE),
         last_date_posted=F.first("last_date_posted"),
@@ -561,7 +572,7 @@ ENTITIES = {"city": "school_city", "zip": "school_zip", "schoolid": "schoolid"}
 
 @query
 def calendar_counts(spark, folder):
-    base = second_base(spark, folder).select("projectid", "date_posted", *ENTITIES.values())
+    base = stored_base(spark, folder, "date_posted", *ENTITIES.values())
     result = base
     for suffix, key in ENTITIES.items():
         counts = calendar.neighbour_counts(
@@ -575,7 +586,7 @@ def calendar_counts(spark, folder):
 
 @query
 def calendar_offsets(spark, folder):
-    base = second_base(spark, folder).select("projectid", "date_posted", *ENTITIES.values())
+    base = stored_base(spark, folder, "date_posted", *ENTITIES.values())
     result = base
     for suffix, key in ENTITIES.items():
         names = {
@@ -782,7 +793,9 @@ def lift_table(spark, folder):
 
 @query
 def log_features(spark, folder):
-    base = second_base(spark, folder).select("projectid", "date_posted", "school_city", PRICE, "students_reached")
+    base = stored_base(
+        spark, folder, "date_posted", "school_city", PRICE, "students_reached"
+    )
     counts = calendar.neighbour_counts(
         base, "school_city", "date_posted", spans={"cnt_wk_city": (-3, 3), "cnt_bwk_city": (-6, 6)}
     )
@@ -799,7 +812,9 @@ def log_features(spark, folder):
 
 @query
 def impute_flags(spark, folder):
-    base = second_base(spark, folder)
+    base = stored_base(
+        spark, folder, "date_posted", "schoolid", second.PRICE, "students_reached"
+    )
     past = lookback.lag_features(
         base, "schoolid", "date_posted", "projectid", second.PRICE,
         "days_since_prev_schoolid", "i_price_prev_dif_schoolid",
