@@ -169,6 +169,24 @@ def ridge_cv(label: str, penalties: Sequence[float], folds: int, seed: int = 1)
     )
 
 
+def largest_penalty(train: DataFrame, numeric: Sequence[str], label: str) -> float:
+    """Start of the ridge penalty path: the largest |covariance| of a standardised input with
+    the label, divided by 0.001, the smallest mixing share the path is defined for.
+
+    One aggregation, one row.
+    """
+    sizes = train.agg(
+        *[
+            F.abs(
+                F.try_divide(F.covar_pop(c, F.col(label).cast("double")), F.stddev_pop(c))
+            ).alias(c)
+            for c in numeric
+        ]
+    ).first()
+    known = [size for size in sizes if size is not None]
+    return max(known, default=0.001) / 0.001
+
+
 def penalty_path(largest: float, smallest_ratio: float = 0.005, steps: int = 6) -> list[float]:
     """Geometric path from ``largest`` down to ``largest * smallest_ratio``."""
     return [largest * smallest_ratio ** (i / (steps - 1)) for i in range(steps)]

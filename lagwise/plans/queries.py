@@ -52,6 +52,7 @@ SECOND = second.SecondSettings(
     tree_share=0.01,
     forest_depth=6,
     penalty_folds=2,
+    penalties=3,
     folds=2,
     text_bits=14,
     text_fields=(text_scores.TextField("essay", 2, 2, 4e-6),),
@@ -547,7 +548,7 @@ def school_intensity(spark, folder):
         rounded("total", 4).alias("i_price_ttl_schoolid"),
         F.col("first_day").cast("string").alias("min_date_posted_schoolid"),
         F.col("open_days").alias("ttl_days_schoolid"),
-        rounded("per_day", 8).alias("i_price_per_day_schoolid"),
+        rounded("per_day", 4).alias("i_price_per_day_schoolid"),
     )
 
 

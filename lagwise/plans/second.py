@@ -113,6 +113,7 @@ CODES = [
 ]
 BLEND = {"pred_day_gbm": 1.0, "pred_day_et": 1.0, "pred_day_glmnet": 0.0, "pred_day_rf": 0.2}
 BLEND_TOTAL = 2.2
+LOWEST_PENALTY = 0.005
 TREES_BOOSTED, TREES_FOREST, TREES_COARSE = 7300, 5000, 3000
 # ----------------------------------------------------------------------------------------
 
@@ -134,6 +135,7 @@ class SecondSettings:
     tree_share: float = 1.0
     forest_depth: int = 14
     penalty_folds: int = 10
+    penalties: int = 20
     folds: int = 10
     text_bits: int = 18
     text_fields: tuple[TextField, ...] = field(default=SECOND_SCHEME)
@@ -465,10 +467,12 @@ def coarse_scores(df: DataFrame, s: SecondSettings) -> DataFrame:
 
 def ridge_scores(df: DataFrame, s: SecondSettings) -> DataFrame:
     inputs, numeric, _ = learners.complete(df, [*LOG_NUMERIC, *LOG_LAGS, *CODES], [], KEEP)
+    train = _training(inputs, s)
+    path = learners.penalty_path(
+        learners.largest_penalty(train, numeric, "y"), LOWEST_PENALTY, s.penalties
+    )
     model = learners.fit(
-        learners.ridge_cv("y", learners.penalty_path(1.0), s.penalty_folds),
-        learners.tree_inputs(numeric, []),
-        _training(inputs, s),
+        learners.ridge_cv("y", path, s.penalty_folds), learners.tree_inputs(numeric, []), train
     )
     return learners.probability(model, inputs, "pred_day_glmnet", ["projectid"])
 

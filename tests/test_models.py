@@ -43,6 +43,15 @@ def test_estimators_find_a_planted_signal(signal):
     inputs.unpersist()
 
 
+def test_penalty_path_starts_at_the_data_and_ends_at_the_ratio(spark):
+    df = spark.createDataFrame([(0.0, 1.0, 0), (2.0, 1.0, 1)], "a DOUBLE, flat DOUBLE, y INT")
+    largest = learners.largest_penalty(df, ["a", "flat"], "y")
+    assert largest == pytest.approx(500.0)
+    path = learners.penalty_path(largest, 0.005, 4)
+    assert len(path) == 4 and path[0] == largest and path[-1] == pytest.approx(2.5)
+    assert path == sorted(path, reverse=True)
+
+
 @pytest.mark.parametrize("splits, depth", [(1, 1), (3, 2), (6, 2), (7, 3)])
 def test_split_count_becomes_depth(spark, splits, depth):
     assert learners.boosted_trees("y", 1, splits, 0.1, 0.5, 1).getMaxDepth() == depth
