@@ -55,29 +55,45 @@ POVERTY_LEVELS = ["moderate poverty", "high poverty", "highest poverty"]
 GRADE_LEVELS = ["Grades 3-5", "Grades 6-8", "Grades 9-12"]
 CREDIBILITY_K = 10
 RATE_CAP = (0.0, 0.25)
-CATEGORICAL = [
-    "school_metro", "teacher_prefix", "teacher_teach_for_america",
-    "teacher_ny_teaching_fellow", "eligible_double_your_impact_match",
-    "eligible_almost_home_match", "poverty_level", "primary_focus_area", "resource_type",
-    "weekday",
+TREE_FEATURES = [
+    "school_latitude", "school_longitude", "school_metro", "teacher_prefix",
+    "teacher_teach_for_america", "teacher_ny_teaching_fellow",
+    "total_price_excluding_optional_support", "students_reached_imp",
+    "eligible_double_your_impact_match", "eligible_almost_home_match", "poverty_level",
+    "primary_focus_area", "resource_type", "essay_length", "title_length", "title_y_pp",
+    "essay_y_pp", "agg_item_amount_total", "agg_cnt", "books_cnt", "books_item_amount_total",
+    "supplies_item_amount_total", "other_item_amount_total", "tech_item_amount_total",
+    "weekday", "teacher_acctid_days", "schoolid_days", "teacher_acctid_cnt", "schoolid_cnt",
+    "teacher_acctid_y_prev_rate_cred", "schoolid_y_prev_rate_cred_cap",
+    "school_district_y_prev_rate", "school_county_y_prev_rate", "schoolid_y2_prev_rate",
+    "teacher_acctid_y2_prev_rate", "schoolid_y3_prev_rate", "teacher_acctid_y3_prev_rate",
+    "school_district_y3_prev_rate", "schoolid_y4_prev_rate", "schoolid_y5_prev_rate",
+    "teacher_acctid_y5_prev_rate", "price_per_student_imp", "schoolid_y11_prev",
+    "teacher_acctid_y11_prev", "schoolid_y12_prev", "teacher_acctid_y12_prev",
+    "schoolid_y13_prev", "teacher_acctid_y13_prev",
 ]
-NUMERIC_MATRIX = [
-    "students_reached_imp", "price_per_student_imp", "total_price_excluding_optional_support",
+MATRIX_FEATURES = [
+    "school_metro", "teacher_prefix", "teacher_teach_for_america", "students_reached_imp",
+    "price_per_student_imp", "teacher_ny_teaching_fellow",
+    "total_price_excluding_optional_support", "eligible_double_your_impact_match",
+    "eligible_almost_home_match", "poverty_level", "primary_focus_area", "resource_type",
     "essay_length", "title_length", "title_y_pp", "essay_y_pp", "agg_item_amount_total",
     "agg_cnt", "books_cnt", "books_item_amount_total", "supplies_item_amount_total",
-    "other_item_amount_total", "tech_item_amount_total", "teacher_acctid_cnt", "schoolid_cnt",
-    "teacher_acctid_y_prev_rate_cred", "schoolid_y_prev_rate_cred_cap",
+    "other_item_amount_total", "tech_item_amount_total", "weekday", "teacher_acctid_cnt",
+    "schoolid_cnt", "teacher_acctid_y_prev_rate_cred", "schoolid_y_prev_rate_cred_cap",
     "school_district_y_prev_rate", "school_county_y_prev_rate", "schoolid_y2_prev_rate",
     "teacher_acctid_y2_prev_rate", "schoolid_y3_prev_rate", "teacher_acctid_y3_prev_rate",
     "school_district_y3_prev_rate", "schoolid_y4_prev_rate", "schoolid_y5_prev_rate",
     "teacher_acctid_y5_prev_rate", "schoolid_y11_prev", "teacher_acctid_y11_prev",
     "schoolid_y12_prev", "teacher_acctid_y12_prev", "schoolid_y13_prev",
-    "teacher_acctid_y13_prev",
-]
-NUMERIC_TREES = [
-    "school_latitude", "school_longitude", *NUMERIC_MATRIX, "teacher_acctid_days",
-    "schoolid_days",
+    "teacher_acctid_y13_prev", "avg_biweekly_pred_v1",
 ]
+CATEGORICAL = {
+    "school_metro", "teacher_prefix", "teacher_teach_for_america",
+    "teacher_ny_teaching_fellow", "eligible_double_your_impact_match",
+    "eligible_almost_home_match", "poverty_level", "primary_focus_area", "resource_type",
+    "weekday",
+}
 TRAILING_ROWS = {
     "avg_biweekly_pred_v1": 14, "avg_monthly_pred_v1": 30, "avg_bimonthly_pred_v1": 61,
 }
@@ -332,7 +348,7 @@ def boosted_scores(
     """(projectid, date_posted, score) of boosted trees trained on train and val rows."""
     keep = ["projectid", "date_posted", "split", "y"]
     inputs, numeric, categorical = learners.complete(
-        df, [*NUMERIC_TREES, *extra], CATEGORICAL, keep
+        df, *learners.by_kind([*TREE_FEATURES, *extra], CATEGORICAL), keep
     )
     train = inputs.filter(training_mask("split", include_validation=True))
     model = learners.fit(
@@ -347,7 +363,7 @@ def forest_scores(df: DataFrame, s: FirstSettings) -> DataFrame:
     """(projectid, pred_et_v4) of the regression forest on the one-hot design matrix."""
     keep = ["projectid", "split", "y"]
     inputs, numeric, categorical = learners.complete(
-        df, [*NUMERIC_MATRIX, "avg_biweekly_pred_v1"], CATEGORICAL, keep
+        df, *learners.by_kind(MATRIX_FEATURES, CATEGORICAL), keep
     )
     train = inputs.filter(training_mask("split", include_validation=True))
     matrix, terms = learners.design_matrix(train, inputs, numeric, categorical)

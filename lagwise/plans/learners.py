@@ -38,6 +38,14 @@ def impute_flags(
     return df.withColumns(added)
 
 
+def by_kind(features: Sequence[str], categorical: set[str]) -> tuple[list[str], list[str]]:
+    """Split a feature list into (numeric, categorical), each in its given order."""
+    return (
+        [f for f in features if f not in categorical],
+        [f for f in features if f in categorical],
+    )
+
+
 def complete(
     df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], keep: Sequence[str]
 ) -> tuple[DataFrame, list[str], list[str]]:

@@ -1002,9 +1002,12 @@ def _second_features(spark, folder):
 
 @query
 def gbt_score(spark, folder):
-    one = _first_scores(spark, folder).select("projectid", "pred_v1")
-    two = second.boosted_scores(_second_features(spark, folder), SECOND)
-    return one.join(two, "projectid", "left")
+    return _first_scores(spark, folder).select("projectid", "pred_v1")
+
+
+@query
+def gbt_day_score(spark, folder):
+    return second.boosted_scores(_second_features(spark, folder), SECOND)
 
 
 @query
@@ -1031,9 +1034,12 @@ def rf_score(spark, folder):
 def forest_reg_score(spark, folder):
     df = _first_features(spark, folder)
     stacked = first.stacked_inputs(df, _first_scores(spark, folder), FIRST)
-    one = first.forest_scores(stacked, FIRST)
-    two = second.coarse_scores(_second_features(spark, folder), SECOND)
-    return one.join(two, "projectid", "left")
+    return first.forest_scores(stacked, FIRST)
+
+
+@query
+def forest_reg_day_score(spark, folder):
+    return second.coarse_scores(_second_features(spark, folder), SECOND)
 
 
 @query

@@ -77,40 +77,70 @@ IMPUTED = {
     "days_since_prev_school_city": -1, "i_price_prev_dif_schoolid": 0,
     "days_since_prev_schoolid": -1, "students_reached": -1,
 }
-SHARED_NUMERIC = [
-    "adj_school_ncesid", "adj_school_state", "adj_primary_focus_subject_resource_type",
-    "adj_secondary_focus_subject_resource_type", "price_school_city", "school_latitude",
-    "school_longitude", "books_cnt", "optional_support_mean_school_city", "price_schoolid",
-    "optional_support", "cnt_donations_teacher_acctid_cumsum", "essay_tfidf",
+BOOSTED_FEATURES = [
+    "adj_teacher_acctid", "adj_school_ncesid", "adj_school_state",
+    "adj_primary_focus_subject_resource_type", "adj_secondary_focus_subject_resource_type",
+    "price_school_city", "school_latitude", "school_longitude", "teacher_prefix",
+    "teacher_teach_for_america", "students_reached", "eligible_double_your_impact_match",
+    "eligible_almost_home_match", "total_price_excluding_optional_support", "books_cnt",
+    "cnt_bwk_city", "cnt_wk_city", "cnt_mth_zip", "cnt_bwk_zip", "cnt_wk_zip",
+    "cnt_mth_schoolid", "cnt_bwk_schoolid", "cnt_wk_schoolid", "days_since_prev_schoolid",
+    "i_price_prev_dif_schoolid", "optional_support_mean_school_city",
+    "days_since_prev_school_city", "price_schoolid", "optional_support",
+    "i_price_per_day_schoolid", "i_price_school_city_cummax", "i_price_dec_over_min_school_zip",
+    "title_cnt", "essay_cnt", "resource_type", "school_type", "cnt_donations_schoolid_cumsum",
+    "cnt_donations_teacher_acctid_cumsum", "essay_tfidf",
 ]
-PLAIN_NUMERIC = [
-    "adj_teacher_acctid", *SHARED_NUMERIC, "total_price_excluding_optional_support",
+FOREST_FEATURES = [
+    "adj_teacher_acctid", "adj_school_ncesid", "adj_school_state",
+    "adj_primary_focus_subject_resource_type", "adj_secondary_focus_subject_resource_type",
+    "price_school_city", "school_latitude", "school_longitude", "teacher_prefix",
+    "teacher_teach_for_america", "students_reached_v2", "eligible_double_your_impact_match",
+    "eligible_almost_home_match", "total_price_excluding_optional_support", "books_cnt",
     "cnt_bwk_city", "cnt_wk_city", "cnt_mth_zip", "cnt_bwk_zip", "cnt_wk_zip",
-    "cnt_mth_schoolid", "cnt_bwk_schoolid", "cnt_wk_schoolid", "i_price_per_day_schoolid",
-    "title_cnt", "essay_cnt", "cnt_donations_schoolid_cumsum",
+    "cnt_mth_schoolid", "cnt_bwk_schoolid", "cnt_wk_schoolid", "days_since_prev_schoolid_v2",
+    "i_price_prev_dif_schoolid_v2", "optional_support_mean_school_city",
+    "days_since_prev_school_city_v2", "price_schoolid", "optional_support",
+    "i_price_per_day_schoolid", "i_price_school_city_cummax_v2",
+    "i_price_dec_over_min_school_zip_v2", "title_cnt", "essay_cnt", "resource_type",
+    "school_type_v2", "cnt_donations_schoolid_cumsum", "cnt_donations_teacher_acctid_cumsum",
+    "essay_tfidf",
 ]
-LOG_NUMERIC = [
-    "adj_teacher_acctid_ln", *SHARED_NUMERIC, "total_price_excluding_optional_support_ln",
-    "cnt_bwk_city_ln", "cnt_wk_city_ln", "cnt_mth_zip_ln", "cnt_bwk_zip_ln", "cnt_wk_zip_ln",
-    "cnt_mth_schoolid_ln", "cnt_bwk_schoolid_ln", "cnt_wk_schoolid_ln",
-    "i_price_per_day_schoolid_ln", "title_cnt_ln", "essay_cnt_ln",
-    "cnt_donations_schoolid_cumsum_ln",
+MATRIX_FEATURES = [
+    "adj_teacher_acctid", "adj_school_ncesid", "adj_school_state",
+    "adj_primary_focus_subject_resource_type", "adj_secondary_focus_subject_resource_type",
+    "price_school_city", "school_latitude", "school_longitude", "teacher_prefix_v2",
+    "teacher_teach_for_america_v2", "students_reached_v2",
+    "eligible_double_your_impact_match_v2", "eligible_almost_home_match_v2",
+    "total_price_excluding_optional_support", "books_cnt", "cnt_bwk_city", "cnt_wk_city",
+    "cnt_mth_zip", "cnt_bwk_zip", "cnt_wk_zip", "cnt_mth_schoolid", "cnt_bwk_schoolid",
+    "cnt_wk_schoolid", "days_since_prev_schoolid_v2", "i_price_prev_dif_schoolid_v2",
+    "optional_support_mean_school_city", "days_since_prev_school_city_v2", "price_schoolid",
+    "optional_support", "i_price_per_day_schoolid", "i_price_school_city_cummax_v2",
+    "i_price_dec_over_min_school_zip_v2", "title_cnt", "essay_cnt", "resource_type_v2",
+    "school_type_v3", "cnt_donations_schoolid_cumsum", "cnt_donations_teacher_acctid_cumsum",
+    "essay_tfidf",
 ]
-RAW_LAGS = list(IMPUTED)
-FILLED_LAGS = [f"{c}_v2" for c in IMPUTED]
-LOG_LAGS = [
-    "i_price_dec_over_min_school_zip_v2", "i_price_school_city_cummax_v2",
-    "days_since_prev_school_city_v2", "i_price_prev_dif_schoolid_v2",
-    "days_since_prev_schoolid_v2_ln", "students_reached_v2_ln",
+LOG_FEATURES = [
+    "adj_teacher_acctid_ln", "adj_school_ncesid", "adj_school_state",
+    "adj_primary_focus_subject_resource_type", "adj_secondary_focus_subject_resource_type",
+    "price_school_city", "school_latitude", "school_longitude", "teacher_prefix_v2",
+    "teacher_teach_for_america_v2", "students_reached_v2_ln",
+    "eligible_double_your_impact_match_v2", "eligible_almost_home_match_v2",
+    "total_price_excluding_optional_support_ln", "books_cnt", "cnt_bwk_city_ln",
+    "cnt_wk_city_ln", "cnt_mth_zip_ln", "cnt_bwk_zip_ln", "cnt_wk_zip_ln",
+    "cnt_mth_schoolid_ln", "cnt_bwk_schoolid_ln", "cnt_wk_schoolid_ln",
+    "days_since_prev_schoolid_v2_ln", "i_price_prev_dif_schoolid_v2",
+    "optional_support_mean_school_city", "days_since_prev_school_city_v2", "price_schoolid",
+    "optional_support", "i_price_per_day_schoolid_ln", "i_price_school_city_cummax_v2",
+    "i_price_dec_over_min_school_zip_v2", "title_cnt_ln", "essay_cnt_ln", "resource_type_v2",
+    "school_type_v3", "cnt_donations_schoolid_cumsum_ln", "cnt_donations_teacher_acctid_cumsum",
+    "essay_tfidf",
 ]
-CATEGORICAL = [
+CATEGORICAL = {
     "teacher_prefix", "teacher_teach_for_america", "eligible_double_your_impact_match",
-    "eligible_almost_home_match", "resource_type", "school_type",
-]
-CODES = [
-    "teacher_prefix_v2", "teacher_teach_for_america_v2", "eligible_double_your_impact_match_v2",
-    "eligible_almost_home_match_v2", "resource_type_v2", "school_type_v3",
-]
+    "eligible_almost_home_match", "resource_type", "school_type", "school_type_v2",
+}
 BLEND = {"pred_day_gbm": 1.0, "pred_day_et": 1.0, "pred_day_glmnet": 0.0, "pred_day_rf": 0.2}
 BLEND_TOTAL = 2.2
 LOWEST_PENALTY = 0.005
@@ -430,7 +460,7 @@ KEEP = ["projectid", "date_posted", "test", "y"]
 
 def boosted_scores(df: DataFrame, s: SecondSettings) -> DataFrame:
     inputs, numeric, categorical = learners.complete(
-        df, [*PLAIN_NUMERIC, *RAW_LAGS], CATEGORICAL, KEEP
+        df, *learners.by_kind(BOOSTED_FEATURES, CATEGORICAL), KEEP
     )
     trees = max(1, round(TREES_BOOSTED * s.boost_share * s.tree_share))
     model = learners.fit(
@@ -443,7 +473,7 @@ def boosted_scores(df: DataFrame, s: SecondSettings) -> DataFrame:
 
 def forest_scores(df: DataFrame, s: SecondSettings) -> DataFrame:
     inputs, numeric, categorical = learners.complete(
-        df, [*PLAIN_NUMERIC, *FILLED_LAGS], CATEGORICAL, KEEP
+        df, *learners.by_kind(FOREST_FEATURES, CATEGORICAL), KEEP
     )
     model = learners.fit(
         learners.random_forest("y", s.trees(TREES_FOREST), 2, 10, s.forest_depth),
@@ -454,9 +484,7 @@ def forest_scores(df: DataFrame, s: SecondSettings) -> DataFrame:
 
 
 def coarse_scores(df: DataFrame, s: SecondSettings) -> DataFrame:
-    inputs, numeric, _ = learners.complete(
-        df, [*PLAIN_NUMERIC, *FILLED_LAGS, *CODES], [], KEEP
-    )
+    inputs, numeric, _ = learners.complete(df, MATRIX_FEATURES, [], KEEP)
     model = learners.fit(
         learners.coarse_forest("y", s.trees(TREES_COARSE), 2, 100, s.forest_depth),
         learners.tree_inputs(numeric, []),
@@ -466,7 +494,7 @@ def coarse_scores(df: DataFrame, s: SecondSettings) -> DataFrame:
 
 
 def ridge_scores(df: DataFrame, s: SecondSettings) -> DataFrame:
-    inputs, numeric, _ = learners.complete(df, [*LOG_NUMERIC, *LOG_LAGS, *CODES], [], KEEP)
+    inputs, numeric, _ = learners.complete(df, LOG_FEATURES, [], KEEP)
     train = _training(inputs, s)
     path = learners.penalty_path(
         learners.largest_penalty(train, numeric, "y"), LOWEST_PENALTY, s.penalties

@@ -108,6 +108,7 @@ def test_documents_without_terms_get_a_zero_vector(spark):
 
 @pytest.mark.parametrize("name, column", [
     ("gbt_score", "pred_v1"), ("gbt_stacked", "pred_v4"), ("rf_score", "pred_day_rf"),
+    ("gbt_day_score", "pred_day_gbm"), ("forest_reg_day_score", "pred_day_et"),
     ("forest_reg_score", "pred_et_v4"), ("ridge_cv_score", "pred_day_glmnet"),
     ("text_score", "pred"), ("text_score_oof", "text_tfidf"),
 ])
