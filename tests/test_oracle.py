@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry_point
 from compare import connect, same, spark_rows, sql_rows
+from lagwise.plans import oracle
+from lagwise.plans.queries import QUERIES
 
-ORACLE = entry_point.oracle_sql()
-QUERIES = entry_point.queries()
+ORACLE = oracle.build()
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +33,7 @@ def test_matches_sql(spark, folder, database, name):
 
 def test_every_sql_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
 def test_entry_has_rows(spark):
