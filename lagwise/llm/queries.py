@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lagwise.llm import decontaminate
+from lagwise.llm import decontaminate, histogram_shards, near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -62,3 +63,50 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark windows of ten words in every document."""
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query(
+    r"""
+    WITH RECURSIVE doc AS (
+        SELECT doc_id, coalesce(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+        FROM documents
+    ), sh AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM doc WHERE len(w) > 0)
+    ), sized AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+    common AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+        FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+    ), link AS (
+        SELECT a, b FROM common JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b
+        WHERE 100 * c >= 75 * (x.n + y.n - c)
+    ), both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+    reach AS (
+        SELECT doc_id AS a, doc_id AS b FROM doc
+        UNION
+        SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a
+    ), least_id AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM doc JOIN least_id USING (doc_id) LEFT JOIN sized USING (doc_id)
+    """
+)
+def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose five-word shingle sets have similarity 0.75 or more."""
+    return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query()
+def op2_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Eight shards of near equal bytes, in the order of (text hash, doc_id)."""
+    placed = histogram_shards.shard_by_bytes(table(spark, folder, "documents"), shards=8)
+    text = F.coalesce("text", F.lit(""))
+    return placed.select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
