@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwise.llm import decontaminate, histogram_shards, near_dedup
+from lagwise.llm import (
+    decontaminate, histogram_shards, language, licenses, near_dedup, packed_ids, page_text, quality, raking, syncmers,
+)
+from lagwise.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -110,3 +114,82 @@ def op2_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def fold(divisor: int) -> Column:
+    """Remainder of the crc32 of the doc_id as text; null ids have none."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+@query()
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Probability of label 1 of every document; learnt outside the held-out third."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.fit(documents, table(spark, folder, "labels"), fold(3) != 1)
+    return quality.scored(documents, model).select(
+        "doc_id",
+        F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query()
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document; prototypes are learnt outside the held-out quarter."""
+    documents = table(spark, folder, "documents")
+    prototypes = language.learn_where(documents.select("doc_id", "text", "lang"), F.coalesce(fold(4) != 2, F.lit(False)))
+    return language.predicted(documents.select("doc_id", "text"), prototypes).select(
+        "doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query(raking.sql())
+def op5_raking(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's calibrated probability and draw after raking to tempered targets."""
+    found = raking.mixed(table(spark, folder, "documents"))
+    none = F.lit(raking.NONE)
+    return found.select(
+        "doc_id",
+        F.coalesce("source", none).alias("source"),
+        F.coalesce("lang", none).alias("lang"),
+        "topic",
+        F.round("probability", 9).alias("probability"),
+        "kept",
+    )
+
+
+@query()
+def op1_syncmers(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, with their likeness."""
+    return syncmers.compare_with_edits(table(spark, folder, "documents"))
+
+
+@query()
+def op4_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of all documents, packed to files in the shared folder and read back."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    target = fresh_path(spark, "packed-ids")
+    packed_ids.write_packed(table(spark, folder, "documents"), target, path, vocabulary=50_257)
+    return packed_ids.read_documents(spark, target, with_ids=False)
+
+
+@query()
+def op9_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return page_text.extracted(table(spark, folder, "pages")).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")
+    )
+
+
+@query(licenses.sql())
+def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Known licence sentences and licences of every document."""
+    found = licenses.scan(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("license_sentences").cast("long").alias("n_known"),
+        F.array_join(F.col("license_sentences")["id"], ",").alias("sentence_ids"),
+        F.array_join("licenses", ",").alias("licenses"),
+        (F.size("licenses") > 0).alias("licensed"),
+    )

@@ -43,6 +43,7 @@ _CODES = numbers(256, 1) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _CODES_LOWER = _CODES[_LOWER]
+_CAPITAL = (_LOWER != np.arange(256)).astype(np.uint8)
 _MULTIPLIERS = numbers(64, 2) | np.uint64(1)
 
 
@@ -58,6 +59,9 @@ BLANK_SEPARATED = byte_class(" \t\n\x0b\x0c\r")
 #: Words are runs of digits, letters and non-ASCII code points.
 ALPHANUMERIC = byte_class("".join(chr(c) for c in [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 
+#: Runs of letters and digits are words, runs of other signs are words of their own.
+SIGNS_TOO = np.where(ALPHANUMERIC, 1, np.where(BLANK_SEPARATED, 2, 0)).astype(np.uint8)
+
 _powers = np.ones(1, dtype=np.uint64)
 _inverses = np.ones(1, dtype=np.uint64)
 
@@ -77,6 +81,7 @@ class Words(NamedTuple):
     texts: int
     text: np.ndarray  # number of the text, from 0, of each word
     hash: np.ndarray
+    upper: np.ndarray  # capitals A-Z in each word
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.text, minlength=self.texts)
@@ -94,44 +99,50 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8), ends
 
 
-def _scan(data: np.ndarray, starts: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of every word of ``data``; no word crosses a place in ``starts``."""
+def _scan(data: np.ndarray, starts: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, hash and number of capitals of every word of ``data``; none crosses a place in ``starts``.
+
+    ``word`` gives each byte's class; a word is a run of one class other than 0.
+    """
     size = len(data)
-    inside = np.zeros(size + 2, dtype=bool)
-    inside[1:-1] = word[data]
-    before, after = inside[:-2].copy(), inside[2:].copy()
+    kind = np.zeros(size + 2, dtype=np.uint8)
+    kind[1:-1] = word[data]
+    goes_on = kind[1:] == kind[:-1]  # from the byte before
     starts = starts[starts < size]
-    before[starts] = False
-    after[starts[starts > 0] - 1] = False
-    begin = np.flatnonzero(inside[1:-1] & ~before)
-    end = np.flatnonzero(inside[1:-1] & ~after) + 1
+    goes_on[starts] = False
+    begin = np.flatnonzero((kind[1:-1] > 0) & ~goes_on[:-1])
+    end = np.flatnonzero((kind[1:-1] > 0) & ~goes_on[1:]) + 1
     powers, inverses = _power_tables(size + 1)
     sums = np.zeros(size + 1, dtype=np.uint64)
     np.cumsum(_CODES_LOWER[data] * powers[:size], out=sums[1:])
-    return begin, mix((sums[end] - sums[begin]) * inverses[begin])
+    capitals = np.zeros(size + 1, dtype=np.int32)
+    np.cumsum(_CAPITAL[data], out=capitals[1:])
+    return begin, mix((sums[end] - sums[begin]) * inverses[begin]), capitals[end] - capitals[begin]
 
 
-def _scan_long(data: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Word hashes of one text longer than a piece, read piece by piece between words."""
+def _scan_long(data: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and capitals of the words of one text longer than a piece, read between words."""
     found, at = [], 0
     while at < len(data):
         stop = min(at + PIECE, len(data))
         while stop < len(data):
-            gap = np.flatnonzero(~word[data[stop : stop + PIECE]])
-            stop = stop + int(gap[0]) if len(gap) else min(stop + PIECE, len(data))
+            kind = word[data[stop - 1 : stop + PIECE]]
+            gap = np.flatnonzero(kind[1:] != kind[:-1])
             if len(gap):
+                stop += int(gap[0])
                 break
-        found.append(_scan(data[at:stop], np.zeros(1, dtype=np.int64), word)[1])
+            stop = min(stop + PIECE, len(data))
+        found.append(_scan(data[at:stop], np.zeros(1, dtype=np.int64), word)[1:])
         at = stop
-    return np.concatenate(found)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def pieces(ends: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]:
-    """Cut texts into runs of at most ``limit`` bytes; a longer text is a run of its own."""
+def pieces(ends: np.ndarray, limit: int = PIECE, most: int = 4096) -> Iterator[tuple[int, int]]:
+    """Cut texts into runs of at most ``limit`` bytes and ``most`` texts; a longer text is a run of its own."""
     at, texts = 0, len(ends) - 1
     while at < texts:
         stop = int(np.searchsorted(ends, ends[at] + limit, side="right")) - 1
-        stop = min(max(stop, at + 1), texts)
+        stop = min(max(stop, at + 1), at + most, texts)
         yield at, stop
         at = stop
 
@@ -142,12 +153,12 @@ def words(column: pa.Array, word: np.ndarray) -> Iterator[Words]:
     for at, stop in pieces(ends):
         low, high = int(ends[at]), int(ends[stop])
         if high - low > PIECE:
-            hashes = _scan_long(data[low:high], word)
-            yield Words(at, 1, np.zeros(len(hashes), dtype=np.int64), hashes)
+            hashes, capitals = _scan_long(data[low:high], word)
+            yield Words(at, 1, np.zeros(len(hashes), dtype=np.int64), hashes, capitals)
             continue
         starts = ends[at:stop] - low
-        begin, hashes = _scan(data[low:high], starts, word)
-        yield Words(at, stop - at, np.searchsorted(starts, begin, side="right") - 1, hashes)
+        begin, hashes, capitals = _scan(data[low:high], starts, word)
+        yield Words(at, stop - at, np.searchsorted(starts, begin, side="right") - 1, hashes, capitals)
 
 
 def shingles(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
