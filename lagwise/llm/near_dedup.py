@@ -5,9 +5,10 @@
    longs, and one key per band of ``rows`` full minima.
 2. Documents of equal sets are one class, held from here on by its least doc_id.
 3. Classes that share a band key are candidates. Each is first held against the least class of the
-   bucket. What remains between classes of a bucket that these links have not joined is compared
+   bucket. What remains between classes of a bucket that the links so far have not joined is compared
    inside tasks on the packed signatures, in blocks, so that no pair is emitted before its
-   signatures agree.
+   signatures agree. In each round a class tries its likeliest partners, more of them from round to
+   round, so that a large group joins by few links; the last round tries all that are left.
 4. The similarity of a candidate pair is estimated from the number of agreeing groups of bits, less
    the agreement that chance gives. Pairs far below the threshold go; all others are confirmed on
    their full sets.
@@ -39,6 +40,8 @@ PER_LONG = 64 // BITS
 _ONES = 0x1111111111111111
 #: Share of pairs of unequal minima whose low bits agree.
 CHANCE = 2.0**-BITS
+#: Partners that a member of a bucket tries in each round; the last round tries all that are left.
+ROUNDS = (1, 8, 64, None)
 #: Rows of a bucket compared with one another in one piece of work.
 BLOCK = 1024
 
@@ -168,31 +171,32 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, per_
     )
 
 
-def _block_pairs(rows: list[tuple], least: float) -> tuple[list[int], list[int]]:
-    """Pairs of different components in one block of a bucket whose signatures agree enough."""
-    rep = np.array([r[0] for r in rows], dtype=np.int64)
-    comp = np.array([r[1] for r in rows], dtype=np.int64)
-    side = np.array([r[2] for r in rows], dtype=np.int64)
+def _block_pairs(rows: list[tuple], least: float, most: int | None) -> tuple[list[int], list[int]]:
+    """For every row of a block its ``most`` likeliest partners (None: all) of other components."""
+    rep, comp, side = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
     signature = np.array([r[3] for r in rows], dtype=np.int64).view(np.uint64)
     two_sided = side.min() != side.max()
     left, right = [], []
-    for k in range(len(rows) - 1):
-        near = estimates(signature[k], signature[k + 1 :]) >= least
-        near &= comp[k + 1 :] != comp[k]
+    for k in range(len(rows)):
+        near = comp != comp[k]
         if two_sided:
-            near &= side[k + 1 :] != side[k]
-        others = rep[k + 1 :][near]
-        left += np.minimum(others, rep[k]).tolist()
-        right += np.maximum(others, rep[k]).tolist()
+            near &= side != side[k]
+        others = np.flatnonzero(near)
+        likely = estimates(signature[k], signature[others])
+        others, likely = others[likely >= least], likely[likely >= least]
+        if most is not None and len(others) > most:
+            others = others[np.argpartition(-likely, most - 1)[:most]]
+        left += np.minimum(rep[others], rep[k]).tolist()
+        right += np.maximum(rep[others], rep[k]).tolist()
     return left, right
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def _cross_pairs(batches: Iterator[pa.RecordBatch], least: float, most: int | None) -> Iterator[pa.RecordBatch]:
     """Rows (key, i, j, rep, comp, side, signature) ordered by block; gives candidate pairs."""
     now, rows = None, []
 
     def out(rows):
-        left, right = _block_pairs(rows, least) if len(rows) > 1 else ([], [])
+        left, right = _block_pairs(rows, least, most) if len(rows) > 1 else ([], [])
         return pa.record_batch([pa.array(left, type=pa.int64()), pa.array(right, type=pa.int64())], names=["u", "v"])
 
     for batch in batches:
@@ -206,8 +210,8 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa
     yield out(rows)
 
 
-def _same_bucket(buckets: DataFrame, reps: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """Candidate pairs inside buckets that still hold several components."""
+def _same_bucket(buckets: DataFrame, reps: DataFrame, labels: DataFrame, least: float, most: int | None) -> DataFrame:
+    """Candidate pairs inside buckets that still hold several components, ``most`` for each member."""
     named = buckets.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "key", "rep", F.coalesce("component", "rep").alias("comp")
     )
@@ -226,7 +230,7 @@ def _same_bucket(buckets: DataFrame, reps: DataFrame, labels: DataFrame, least:
     return (
         open_rows.repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
-        .mapInArrow(lambda b: _cross_pairs(b, least), "u long, v long")
+        .mapInArrow(lambda b: _cross_pairs(b, least, most), "u long, v long")
         .distinct()
     )
 
@@ -263,11 +267,17 @@ def near_duplicates(
     other = reps.select(F.col("rep").alias("v"), F.col("signature").alias("other"))
     near = star.join(one, "u").join(other, "v").where(estimate(F.col("one"), F.col("other"), bands * rows) >= least)
     tried = materialize(near.select("u", "v").distinct(), "pairs")
-    first = materialize(confirm(tried, texts, shingle, percent), "links")
-    labels = components(first)
-    cross = materialize(_same_bucket(buckets.select("key", "rep"), reps, labels, least).join(tried, ["u", "v"], "left_anti"), "pairs")
-    second = confirm(cross, texts, shingle, percent)
-    final = components(first.union(second))
+    links = materialize(confirm(tried, texts, shingle, percent), "links")
+    final = components(links)
+    for most in ROUNDS:
+        found = _same_bucket(buckets.select("key", "rep"), reps, final, least, most).join(tried, ["u", "v"], "left_anti")
+        fresh = materialize(found, "pairs")
+        more = materialize(confirm(fresh, texts, shingle, percent), "links")
+        if more.isEmpty():
+            tried = tried.union(fresh)
+            continue
+        tried, links = tried.union(fresh), links.union(more)
+        final = components(links)
     grouped = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "d1", "d2", F.coalesce("component", "rep").alias("component_id")
     )
