@@ -92,12 +92,13 @@ class ByteLevelEncoder:
     meet, or that spell a special token, go to the library whole.
     """
 
-    def __init__(self, path: str, memory: int = 150_000):
+    def __init__(self, path: str, memory: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memory = memory
         self.known: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}  # what was known before the memory was last full
         self.stems: dict[str, bytes] = {"": b""}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -121,6 +122,9 @@ class ByteLevelEncoder:
     def _learn(self, words: list[str]) -> None:
         rest = []
         for word in words:
+            if word in self.earlier:
+                self.known[word] = self.earlier[word]
+                continue
             parts = _SIMPLE.fullmatch(word)
             if parts and parts[2].isalpha():
                 line, letters, signs = parts.groups()
@@ -136,7 +140,7 @@ class ByteLevelEncoder:
         whole = iter(self._whole([t for t, w in zip(texts, split) if w is None]))
         heads = iter(self._whole([w[0] for w in split if w is not None]))
         if len(self.known) > self.memory:
-            self.known = {}
+            self.earlier, self.known = self.known, {}
         if len(self.stems) > self.memory:
             self.stems = {"": b""}
         known = self.known
