@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagwise.llm import decontaminate, histogram_shards, near_dedup, quality, raking
+from lagwise.llm.columns import apart
 from lagwise.llm.queries import fold, table
 from lagwise.session import materialize
 
@@ -21,8 +22,8 @@ from lagwise.session import materialize
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), fold(3) != 1)
-    kept = quality.scored(docs, model, score="_score").where(F.col("_score") >= 0.5)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, restore = apart(docs, "_score")
+    return restore(quality.scored(own, model, score="_score").where(F.col("_score") >= 0.5).drop("_score"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

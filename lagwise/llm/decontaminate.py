@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lagwise.llm import words as W
+from lagwise.llm.columns import apart
 from lagwise.session import materialize
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -293,5 +294,6 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, **settings) -> Data
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The documents that hold no benchmark window, with their own columns."""
+    documents, restore = apart(documents, N_WORDS, SPANS, ITEMS)
     found = find_windows(documents, benchmark, **settings)
-    return found.where(F.size(SPANS) == 0).select(*[F.col(f"`{c}`") for c in documents.columns])
+    return restore(found.where(F.size(SPANS) == 0).select(*[F.col(f"`{c}`") for c in documents.columns]))

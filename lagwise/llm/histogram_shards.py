@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lagwise.llm.columns import apart
 from lagwise.session import materialize
 
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -182,7 +183,7 @@ def shard_by_bytes(
 
     The size of a row is the UTF-8 bytes of its text plus 1. Columns of these names are replaced.
     """
-    documents = documents.drop(shard, slot, _TEXT_KEY, _ROW_KEY, _PIECE)
+    documents, restore = apart(documents.drop(shard, slot), _TEXT_KEY, _ROW_KEY, _PIECE)
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     text_key = F.xxhash64(content)
     row_key = F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST))
@@ -194,7 +195,7 @@ def shard_by_bytes(
     keyed = documents.withColumn(_TEXT_KEY, text_key).withColumn(_ROW_KEY, row_key)
     placed = keyed.mapInArrow(lambda b: _place(b, splitters), T.StructType([*keyed.schema.fields, T.StructField(_PIECE, T.IntegerType())]))
     added = [T.StructField(shard, T.IntegerType()), T.StructField(slot, T.LongType())]
-    return (
+    return restore(
         placed.repartitionById(shards * pieces, F.col(_PIECE))
         .sortWithinPartitions(_PIECE, _TEXT_KEY, _ROW_KEY)
         .mapInArrow(lambda b: _number(b, before, pieces, shard, slot), T.StructType([*documents.schema.fields, *added]))

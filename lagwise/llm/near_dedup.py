@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagwise.llm import words as W
+from lagwise.llm.columns import apart
 from lagwise.llm.components import components
 from lagwise.session import materialize
 
@@ -291,4 +292,5 @@ def near_duplicates(
 def without_copies(documents: DataFrame, **settings) -> DataFrame:
     """One document of each group of near-duplicates, the one of the least doc_id, all columns kept."""
     gone = near_duplicates(documents, **settings).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    own, restore = apart(documents, "_gone")
+    return restore(own.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti"))

@@ -24,6 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lagwise.llm.columns import apart
 from lagwise.session import materialize
 
 NONE = "(none)"
@@ -31,7 +32,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 DIMENSIONS = ("source", "lang", "topic")
 #: Exponents of the default targets.
 EXPONENTS = {"source": 0.7, "lang": 0.8, "topic": 0.8}
-_TOKENS, _WEIGHT, _DRAW = "_tokens", "_weight", "_draw"
+_TOKENS, _WEIGHT = "_tokens", "_weight"
 _CELL = {name: f"_cell_{name}" for name in DIMENSIONS}
 
 
@@ -115,7 +116,7 @@ def mixed(
     topic_name: str = "topic",
 ) -> DataFrame:
     """``documents`` with their topic, the probability of their cell and whether they stay."""
-    documents = documents.drop(probability, kept, topic_name, _TOKENS, _WEIGHT, *_CELL.values())
+    documents, restore = apart(documents.drop(probability, kept, topic_name), _TOKENS, _WEIGHT, *_CELL.values())
     celled = _celled(documents, text, topic)
     tokens = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)) + 1
     cells = materialize(celled.groupBy(*_CELL.values()).agg(F.sum(tokens.cast("long")).alias(_TOKENS)), "cells")
@@ -126,18 +127,20 @@ def mixed(
         raked.select(*_CELL.values(), F.least(F.lit(1.0), F.lit(level) * F.col(_WEIGHT) / F.col(_TOKENS)).alias(probability)), "chances"
     )
     joined = celled.join(chances, list(_CELL.values()))
-    return joined.select(
+    chosen = joined.select(
         *[F.col(f"`{c}`") for c in documents.columns],
         F.col(_CELL["topic"]).alias(topic_name),
         probability,
         (draw(F.col(doc_id), seed) < F.col(probability)).alias(kept),
     )
+    return restore(chosen)
 
 
 def sampled(documents: DataFrame, **settings) -> DataFrame:
     """The documents that stay, with their own columns."""
     flags = {"probability": "_probability", "kept": "_kept", "topic_name": "_topic"}
-    return mixed(documents, **settings, **flags).where("_kept").select(*[F.col(f"`{c}`") for c in documents.columns])
+    documents, restore = apart(documents, *flags.values())
+    return restore(mixed(documents, **settings, **flags).where("_kept").select(*[F.col(f"`{c}`") for c in documents.columns]))
 
 
 def sql(rounds: int = 6, keep: float = 0.8, level_rounds: int = 8, seed: str = "mix", digits: int = 9) -> str:
