@@ -5,10 +5,9 @@
    longs, and one key per band of ``rows`` full minima.
 2. Documents of equal sets are one class, held from here on by its least doc_id.
 3. Classes that share a band key are candidates. Each is first held against the least class of the
-   bucket. What remains between classes of a bucket that the links so far have not joined is compared
-   inside tasks on the packed signatures, in blocks, so that no pair is emitted before its
-   signatures agree. In each round a class tries its likeliest partners, more of them from round to
-   round, so that a large group joins by few links; the last round tries all that are left.
+   bucket. Buckets whose classes are not all joined by these links are then compared inside tasks,
+   in blocks: packed signatures first, full sets of the pairs whose signatures agree, and only links
+   between classes not joined yet leave the task. No pair is emitted that is no link.
 4. The similarity of a candidate pair is estimated from the number of agreeing groups of bits, less
    the agreement that chance gives. Pairs far below the threshold go; all others are confirmed on
    their full sets.
@@ -25,6 +24,7 @@ document, linked by any of its texts. A null doc_id is linked with nothing and k
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +41,10 @@ PER_LONG = 64 // BITS
 _ONES = 0x1111111111111111
 #: Share of pairs of unequal minima whose low bits agree.
 CHANCE = 2.0**-BITS
-#: Partners that a member of a bucket tries in each round; the last round tries all that are left.
-ROUNDS = (1, 8, 64, None)
 #: Rows of a bucket compared with one another in one piece of work.
 BLOCK = 1024
+#: and shingles held for it, unless one document has more.
+BLOCK_SHINGLES = 1 << 21
 
 
 def _minima(values: np.ndarray, begin: np.ndarray, count: int) -> np.ndarray:
@@ -172,67 +172,113 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, per_
     )
 
 
-def _block_pairs(rows: list[tuple], least: float, most: int | None) -> tuple[list[int], list[int]]:
-    """For every row of a block its ``most`` likeliest partners (None: all) of other components."""
-    rep, comp, side = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
-    signature = np.array([r[3] for r in rows], dtype=np.int64).view(np.uint64)
+class Member(NamedTuple):
+    """A class in a bucket, with its component so far."""
+
+    rep: int
+    comp: int
+    side: int
+    keys: list[int]
+    signature: list[int]
+    shingles: np.ndarray
+
+
+def _common(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of one sorted set with each of many (none is empty)."""
+    flat = np.concatenate(others)
+    place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    ends = np.cumsum([len(o) for o in others])
+    return np.add.reduceat((own[place] == flat).astype(np.int64), np.concatenate([[0], ends[:-1]]))
+
+
+def _block_links(key: int, rows: list[Member], least: float, percent: int) -> tuple[list[int], list[int]]:
+    """Links that join different components in one block of a bucket, at most one fewer than rows.
+
+    A pair is left to the first band that its two signatures share, and to the exact sets only if
+    the signatures agree enough and no link found in the block joins the two already.
+    """
+    label, side = np.array([r.comp for r in rows]), np.array([r.side for r in rows])
+    rep, size = np.array([r.rep for r in rows]), np.array([len(r.shingles) for r in rows])
+    keys = np.array([r.keys for r in rows], dtype=np.int64)
+    signature = np.array([r.signature for r in rows], dtype=np.int64).view(np.uint64)
+    earlier = keys[:, : rows[0].keys.index(key)]
     two_sided = side.min() != side.max()
     left, right = [], []
-    for k in range(len(rows)):
-        near = comp != comp[k]
+    for k in range(len(rows) - 1):
+        others = np.arange(k + 1, len(rows))
+        others = others[label[others] != label[k]]
         if two_sided:
-            near &= side != side[k]
-        others = np.flatnonzero(near)
-        likely = estimates(signature[k], signature[others])
-        others, likely = others[likely >= least], likely[likely >= least]
-        if most is not None and len(others) > most:
-            others = others[np.argpartition(-likely, most - 1)[:most]]
-        left += np.minimum(rep[others], rep[k]).tolist()
-        right += np.maximum(rep[others], rep[k]).tolist()
+            others = others[side[others] != side[k]]
+        others = others[100 * np.minimum(size[others], size[k]) >= percent * np.maximum(size[others], size[k])]
+        others = others[estimates(signature[k], signature[others]) >= least]
+        others = others[~(earlier[others] == earlier[k]).any(axis=1)]
+        for at in range(0, len(others), 128):
+            some = others[at : at + 128]
+            some = some[label[some] != label[k]]
+            if not len(some):
+                continue
+            common = _common(rows[k].shingles, [rows[o].shingles for o in some])
+            for o in some[100 * common >= percent * (size[some] + size[k] - common)]:
+                if label[o] != label[k]:
+                    left.append(min(int(rep[o]), int(rep[k])))
+                    right.append(max(int(rep[o]), int(rep[k])))
+                    label[label == label[o]] = label[k]
     return left, right
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch], least: float, most: int | None) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, rep, comp, side, signature) ordered by block; gives candidate pairs."""
-    now, rows = None, []
+def _cross_links(batches: Iterator[pa.RecordBatch], shingle: int, least: float, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, rep, comp, side, keys, signature, text) ordered by block; gives links."""
+    now: tuple = ()
+    rows: list[Member] = []
 
-    def out(rows):
-        left, right = _block_pairs(rows, least, most) if len(rows) > 1 else ([], [])
+    def out():
+        left, right = _block_links(now[0], rows, least, percent) if len(rows) > 1 else ([], [])
         return pa.record_batch([pa.array(left, type=pa.int64()), pa.array(right, type=pa.int64())], names=["u", "v"])
 
     for batch in batches:
-        key, i, j, *values = (batch.column(k).to_pylist() for k in range(7))
-        for block, row in zip(zip(key, i, j), zip(*values)):
-            if block != now:
-                if len(rows) > 1:
-                    yield out(rows)
-                now, rows = block, []
-            rows.append(row)
-    yield out(rows)
-
-
-def _same_bucket(buckets: DataFrame, reps: DataFrame, labels: DataFrame, least: float, most: int | None) -> DataFrame:
-    """Candidate pairs inside buckets that still hold several components, ``most`` for each member."""
-    named = buckets.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("comp")
+        for found in W.words(batch.column(8), W.BLANK_SEPARATED):
+            text, values = W.shingle_sets(found, shingle)
+            ends = np.searchsorted(text, np.arange(found.texts + 1))
+            part = batch.slice(found.first, found.texts)
+            key, i, j, *rest = (part.column(k).to_pylist() for k in range(8))
+            for k, (block, row) in enumerate(zip(zip(key, i, j), zip(*rest))):
+                if block != now:
+                    if len(rows) > 1:
+                        yield out()
+                    now, rows = block, []
+                rows.append(Member(*row, values[ends[k] : ends[k + 1]].copy()))
+    yield out()
+
+
+def _same_bucket(
+    buckets: DataFrame, reps: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int, least: float, percent: int
+) -> DataFrame:
+    """Links between components inside buckets that still hold several."""
+    named = (
+        buckets.join(reps.select("rep", "n_shingles"), "rep")
+        .join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        .select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
     )
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES))
     mixed = (
-        named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n"))
-        .where("a < b").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+        named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), blocks.alias("blocks"))
+        .where("a < b").select("key", "blocks")
     )
     side = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     open_rows = (
         named.join(mixed, "key")
         .select("key", "rep", "comp", side.alias("side"), "blocks")
-        .join(reps.select("rep", "signature"), "rep")
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "rep", "comp", "side", "signature")
+        .select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "rep", "comp", "side")
+        .join(reps.select("rep", "keys", "signature"), "rep")
+        .where(F.array_contains("keys", F.col("key")))  # a doc_id may have several texts
+        .join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+        .select("key", "i", "j", "rep", "comp", "side", "keys", "signature", "text")
     )
     return (
         open_rows.repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
-        .mapInArrow(lambda b: _cross_pairs(b, least, most), "u long, v long")
-        .distinct()
+        .mapInArrow(lambda b: _cross_links(b, shingle, least, percent), "u long, v long")
     )
 
 
@@ -252,10 +298,9 @@ def near_duplicates(
     sketches = materialize(sketch(documents, shingle, bands, rows), "sketches")
     filled = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    chosen = F.min_by(F.struct("signature", "keys"), "doc_id")
-    reps = materialize(
-        filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), chosen.alias("x")).select("rep", "x.signature", "x.keys"), "classes"
-    )
+    chosen = F.min_by(F.struct("n_shingles", "signature", "keys"), "doc_id")
+    reps = filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), chosen.alias("x"))
+    reps = materialize(reps.select("rep", "x.n_shingles", "x.signature", "x.keys"), "classes")
     keyed = reps.select("rep", F.explode("keys").alias("key"))
     leaders = keyed.groupBy("key").agg(F.min("rep").alias("u"), F.count("*").alias("n")).where("n > 1").select("key", "u")
     buckets = materialize(keyed.join(leaders, "key").select("key", "u", "rep"), "buckets")
@@ -267,18 +312,10 @@ def near_duplicates(
     one = reps.select(F.col("rep").alias("u"), F.col("signature").alias("one"))
     other = reps.select(F.col("rep").alias("v"), F.col("signature").alias("other"))
     near = star.join(one, "u").join(other, "v").where(estimate(F.col("one"), F.col("other"), bands * rows) >= least)
-    tried = materialize(near.select("u", "v").distinct(), "pairs")
-    links = materialize(confirm(tried, texts, shingle, percent), "links")
+    links = materialize(confirm(materialize(near.select("u", "v").distinct(), "pairs"), texts, shingle, percent), "links")
     final = components(links)
-    for most in ROUNDS:
-        found = _same_bucket(buckets.select("key", "rep"), reps, final, least, most).join(tried, ["u", "v"], "left_anti")
-        fresh = materialize(found, "pairs")
-        more = materialize(confirm(fresh, texts, shingle, percent), "links")
-        if more.isEmpty():
-            tried = tried.union(fresh)
-            continue
-        tried, links = tried.union(fresh), links.union(more)
-        final = components(links)
+    more = _same_bucket(buckets.select("key", "rep"), reps, final, texts, shingle, least, percent)
+    final = components(links.union(materialize(more, "links")))
     grouped = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "d1", "d2", F.coalesce("component", "rep").alias("component_id")
     )

@@ -74,3 +74,11 @@ def test_estimate_is_the_same_in_sql_and_numpy(spark):
     sql = [r.e for r in df.orderBy("k").select(near_dedup.estimate(F.col("a"), F.col("b"), 128).alias("e")).collect()]
     own = [float(near_dedup.estimates(a[k].view(np.uint64), b[k : k + 1].view(np.uint64))[0]) for k in range(6)]
     assert sql == pytest.approx(own) and sql[0] == 1.0
+
+
+def test_a_doc_id_with_two_texts_is_one_document(spark):
+    a, b = prose(11, 90), prose(12, 90)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " end"), (4, prose(13, 90)), (3, b + " end"), (5, "few words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(df).collect()}
+    assert found == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)}
