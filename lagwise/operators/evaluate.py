@@ -15,17 +15,23 @@ from pyspark.sql import functions as F
 
 from lagwise.session import materialize
 
+#: Rows ordered in one task.
+SLICE_ROWS = 1_000_000
+
 
 def running_totals(
     df: DataFrame, order: Sequence[str], totals: Mapping[str, str], slices: int | None = None
 ) -> DataFrame:
     """Add running sums in ``order``, including the current row; ``order`` must be unique.
 
-    ``totals`` maps a new column to the column it sums. The slice totals are one row per
-    slice, so the unpartitioned prefix window and the broadcast stay small.
+    ``totals`` maps a new column to the column it sums. The number of slices follows from the
+    number of rows; the slice totals are one row per slice, so the unpartitioned prefix window
+    and the broadcast stay small.
     """
-    spark = df.sparkSession
-    count = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if slices is None:
+        df = materialize(df, "ordered")  # counted and sliced without computing it twice
+        slices = df.count() // SLICE_ROWS + 1
+    count = slices
     sliced = materialize(
         df.repartitionByRange(count, *order).withColumn("_slice", F.spark_partition_id()),
         "slices",
@@ -126,6 +132,8 @@ def lift_table(
         F.col(actual).alias("_a"),
         (F.lit(1.0) if weight is None else weight).alias("_w"),
     )
+    rows = materialize(rows, "lift")
+    slices = slices or rows.count() // SLICE_ROWS + 1
     ranked = running_totals(rows, ["_o", row_id], {"_w_so_far": "_w"}, slices)
     total = rows.agg(F.sum("_w").alias("_t")).scalar()
     index = F.bround(F.col("_w_so_far") * bins / total + 0.5)

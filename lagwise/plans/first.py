@@ -123,9 +123,8 @@ class FirstSettings:
     tree_share: float = 1.0
     min_rows: int = 750
     forest_min_rows: int = 50
-    forest_depth: int = 12
+    forest_depth: int = 30
     folds: int = 10
-    text_bits: int = 18
     text_fields: tuple[TextField, ...] = field(default=FIRST_SCHEME)
 
     def trees(self, full: int) -> int:
@@ -334,7 +333,7 @@ def text_features(tables: Tables, s: FirstSettings) -> DataFrame:
         "clean-text",
     )
     scores = score_columns(
-        cleaned, "projectid", "y", s.text_fields, training_mask("split"), s.folds, s.text_bits
+        cleaned, "projectid", "y", s.text_fields, training_mask("split"), s.folds
     )
     lengths = cleaned.select(
         "projectid", *[text.word_count(F.col(c)).alias(f"{c}_length") for c in columns]

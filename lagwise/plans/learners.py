@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FEATURES = "features"
-MAX_LEVELS = 1000
+#: Cuts tried for a numeric input; categories with more levels raise it to their number.
+BINS = 64
 
 
 def impute_flags(
@@ -47,12 +48,20 @@ def by_kind(features: Sequence[str], categorical: set[str]) -> tuple[list[str],
 
 
 def complete(
-    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], keep: Sequence[str]
+    df: DataFrame,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    keep: Sequence[str],
+    flagged: Sequence[str] = (),
 ) -> tuple[DataFrame, list[str], list[str]]:
-    """Narrow to model inputs without missing values; returns (df, numeric, categorical)."""
+    """Narrow to model inputs without missing values; returns (df, numeric, categorical).
+
+    One input per feature; only those in ``flagged`` also get a column that says where they
+    were missing. A forest that tries two inputs per split must not meet constant flags.
+    """
     filled = impute_flags(df, {c: -1.0 for c in numeric})
     cats = {f"{c}_cat": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in categorical}
-    names = [f"{c}_imp" for c in numeric] + [f"{c}_missing" for c in numeric]
+    names = [f"{c}_imp" for c in numeric] + [f"{c}_missing" for c in flagged]
     out = filled.withColumns(cats) if cats else filled
     return out.select(*keep, *names, *cats), names, list(cats)
 
@@ -81,13 +90,9 @@ def design_matrix(
 
     Levels are the distinct values of the training rows in alphabetical order, first level
     dropped, plus an intercept. They are learnt once and reused for every row; an unseen level
-    becomes all zeros. A column with more than MAX_LEVELS values is refused before its levels
-    are read to the driver.
+    becomes all zeros. The matrix has a column per level, so its columns must be categories of
+    few levels (states, types, prefixes); free identifiers belong into a target encoding.
     """
-    sizes = train.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
-    large = [c for c in categorical if sizes[c] > MAX_LEVELS]
-    if large:
-        raise ValueError(f"too many levels for a design matrix: {large}")
     terms: dict[str, Column] = {"intercept": F.lit(1.0)}
     for name in numeric:
         terms[name] = F.col(name).cast("double")
@@ -99,14 +104,20 @@ def design_matrix(
 
 
 def fit(estimator, stages: list, train: DataFrame) -> PipelineModel:
+    """Fit stages and estimator; a tree gets at least as many bins as a category has levels."""
+    named = [c for s in stages if isinstance(s, StringIndexer) for c in s.getInputCols()]
+    if named and estimator.hasParam("maxBins"):
+        levels = max(train.agg(*[F.count_distinct(c) for c in named]).first()) + 1
+        if levels > estimator.getMaxBins():
+            estimator = estimator.copy({estimator.maxBins: levels})
     return Pipeline(stages=[*stages, estimator]).fit(train)
 
 
 def boosted_trees(
     label: str, trees: int, splits: int, rate: float, bag: float, min_rows: int, seed: int = 1
 ) -> GBTClassifier:
-    """``splits`` counts split nodes per tree, so the depth is the one holding that many."""
-    depth = max(1, (splits + 1).bit_length() - 1)
+    """``splits`` counts split nodes per tree; the depth is the smallest that holds as many."""
+    depth = max(1, splits.bit_length())
     return GBTClassifier(
         labelCol=label,
         featuresCol=FEATURES,
@@ -115,7 +126,7 @@ def boosted_trees(
         stepSize=rate,
         subsamplingRate=bag,
         minInstancesPerNode=min_rows,
-        maxBins=64,
+        maxBins=BINS,
         seed=seed,
     )
 
@@ -133,7 +144,7 @@ def random_forest(
         subsamplingRate=0.632,
         minInstancesPerNode=min_rows,
         maxDepth=depth,
-        maxBins=64,
+        maxBins=BINS,
         seed=seed,
     )
 
@@ -164,7 +175,7 @@ def coarse_forest(
 def ridge_cv(label: str, penalties: Sequence[float], folds: int, seed: int = 1) -> CrossValidator:
     """Ridge logistic regression with the penalty of the smallest cross-validated log loss."""
     logistic = LogisticRegression(
-        labelCol=label, featuresCol=FEATURES, elasticNetParam=0.0, maxIter=50
+        labelCol=label, featuresCol=FEATURES, elasticNetParam=0.0, maxIter=1000
     )
     grid = ParamGridBuilder().addGrid(logistic.regParam, list(penalties)).build()
     return CrossValidator(
@@ -200,8 +211,13 @@ def penalty_path(largest: float, smallest_ratio: float = 0.005, steps: int = 6)
     return [largest * smallest_ratio ** (i / (steps - 1)) for i in range(steps)]
 
 
-def text_logistic(label: str, alpha: float, iterations: int = 20) -> LogisticRegression:
-    """L2 logistic regression on unscaled TF-IDF vectors; mean loss + alpha / 2 * |w|^2."""
+def text_logistic(label: str, alpha: float, iterations: int = 1000) -> LogisticRegression:
+    """L2 logistic regression on unscaled TF-IDF vectors; mean loss + alpha / 2 * |w|^2.
+
+    It stops at the tolerance; ``iterations`` only ends a fit that does not converge. The weights
+    are one dense vector over the vocabulary: the driver and each executor hold a few times 8
+    bytes per term, and gradients are summed in a tree.
+    """
     return LogisticRegression(
         labelCol=label,
         featuresCol=FEATURES,
@@ -209,6 +225,7 @@ def text_logistic(label: str, alpha: float, iterations: int = 20) -> LogisticReg
         regParam=alpha,
         standardization=False,
         maxIter=iterations,
+        aggregationDepth=3,
     )
 
 

@@ -788,19 +788,15 @@ def _build() -> dict[str, str]:
       FROM (SELECT doc_id, {letters} AS t FROM documents))"""
 
     def grams(largest: int) -> str:
-        """N-grams by positional self-joins."""
-        levels = []
-        for n in range(1, largest + 1):
-            text_of = " || ' ' || ".join(f"t{k}.token" for k in range(n))
-            source = "tokens t0" + "".join(
-                f" JOIN tokens t{k} ON t{k}.doc_id = t0.doc_id AND t{k}.i = t0.i + {k}"
-                for k in range(1, n)
-            )
-            levels.append(f"SELECT t0.doc_id, {text_of} AS term FROM {source}")
-        return f"grams AS ({' UNION ALL '.join(levels)})"
+        """N-grams as slices of the list of letter tokens, one size after another."""
+        levels = [
+            f"SELECT doc_id, unnest([array_to_string(t[i : i + {n - 1}], ' ') FOR i IN range(1, len(t) - {n - 2})]) AS term FROM listed_tokens"
+            for n in range(1, largest + 1)
+        ]
+        return f"listed_tokens AS (SELECT doc_id, {letters} AS t FROM documents), grams AS ({' UNION ALL '.join(levels)})"
 
     sql["ngrams"] = f"""
-    WITH {tokens}, {grams(3)}, listed AS (SELECT doc_id, count(*) AS n,
+    WITH {tokens}, {grams(4)}, listed AS (SELECT doc_id, count(*) AS n,
       count(DISTINCT term) AS u, md5(string_agg(term, chr(10) ORDER BY term)) AS h
       FROM grams GROUP BY 1)
     SELECT documents.doc_id, CAST(coalesce(n, 0) AS INT) AS ngram_cnt,
@@ -812,12 +808,16 @@ def _build() -> dict[str, str]:
     FROM grams GROUP BY term HAVING count(DISTINCT doc_id) >= 10"""
     fold = f"CAST(floor({uniform('doc_id', 'text')} * 5) AS INT)"
     sql["doc_freq_by_fold"] = f"""
-    WITH {tokens}, placed AS (SELECT DISTINCT doc_id, token AS term, {fold} AS f FROM tokens)
+    WITH {tokens}, {grams(2)}, placed AS (SELECT DISTINCT doc_id, term, {fold} AS f FROM grams)
     SELECT CAST(fold AS INT) AS fold, term, count(*) AS df
     FROM placed JOIN (SELECT unnest(range(5)) AS fold) ON f <> fold
     GROUP BY 1, 2 HAVING count(*) >= 2"""
+    sql["term_index"] = f"""
+    WITH {tokens}, {grams(4)}, known AS (
+      SELECT term, count(DISTINCT doc_id) AS df FROM grams GROUP BY term HAVING count(DISTINCT doc_id) >= 2)
+    SELECT term, df, row_number() OVER (ORDER BY term) - 1 AS id FROM known"""
     sql["tfidf"] = f"""
-    WITH {tokens}, counts AS (SELECT doc_id, token AS term, count(*) AS tf FROM tokens GROUP BY 1, 2),
+    WITH {tokens}, {grams(2)}, counts AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY 1, 2),
       idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf
         FROM counts GROUP BY 1 HAVING count(*) >= 2),
       raw AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM counts JOIN idf USING (term)),

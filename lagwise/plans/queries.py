@@ -34,12 +34,6 @@ FIRST = first.FirstSettings(
     min_rows=20,
     forest_min_rows=20,
     forest_depth=6,
-    folds=2,
-    text_bits=14,
-    text_fields=(
-        text_scores.TextField("title", 1, 2, 5e-6),
-        text_scores.TextField("essay", 2, 2, 5e-6),
-    ),
 )
 SECOND = second.SecondSettings(
     start=dt.date(1995, 7, 1),
@@ -53,9 +47,6 @@ SECOND = second.SecondSettings(
     forest_depth=6,
     penalty_folds=2,
     penalties=3,
-    folds=2,
-    text_bits=14,
-    text_fields=(text_scores.TextField("essay", 2, 2, 4e-6),),
 )
 PRICE = "total_price_excluding_optional_support"
 TIE_SHIFT = oracle.TIE_SHIFT
@@ -848,14 +839,10 @@ def text_clean(spark, folder):
 
 @query
 def text_lengths(spark, folder):
-    loaded = fixtures.essays(spark, folder)
-    counted = second.token_counts(loaded)
-    lengths = loaded.select(
-        "projectid",
-        text.word_count(text.clean_text(F.col("title"))).alias("title_length"),
-        text.word_count(text.clean_text(F.col("essay"))).alias("essay_length"),
-    )
-    return counted.join(lengths, "projectid")
+    cleaned = {
+        f"{c}_length": text.word_count(text.clean_text(F.col(c))) for c in ("title", "essay")
+    }
+    return second.token_counts(fixtures.essays(spark, folder), cleaned)
 
 
 @query
@@ -878,7 +865,7 @@ def text_tokens(spark, folder):
 @query
 def ngrams(spark, folder):
     docs = fixtures.source(spark, folder, "documents")
-    grams = text.ngrams(text.letter_tokens(F.col("text")), 3)
+    grams = text.ngrams(text.letter_tokens(F.col("text")), 4)
     return docs.select("doc_id", grams.alias("_g")).select(
         "doc_id",
         F.size("_g").alias("ngram_cnt"),
@@ -904,13 +891,19 @@ def doc_freq(spark, folder):
 
 @query
 def doc_freq_by_fold(spark, folder):
-    _, counts = _counts(spark, folder, 1, keep=["fold"])
+    _, counts = _counts(spark, folder, 2, keep=["fold"])
     return terms.document_frequency_by_fold(counts, "fold", range(5), 2)
 
 
+@query
+def term_index(spark, folder):
+    _, counts = _counts(spark, folder, 4)
+    return terms.term_index(terms.document_frequency(counts, 2)).select("term", "df", "id")
+
+
 @query
 def tfidf(spark, folder):
-    docs, counts = _counts(spark, folder, 1)
+    docs, counts = _counts(spark, folder, 2)
     stored_counts = materialize(counts, "counts")
     total = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     weights = terms.tfidf_weights(
@@ -930,7 +923,7 @@ def text_score(spark, folder):
     docs = _labelled_docs(spark, folder)
     field = text_scores.TextField("text", 2, 2, 5e-6)
     return text_scores.score_fixed_vocabulary(
-        docs, "doc_id", field, "quality", F.col("quality").isNotNull(), folds=3, bits=14
+        docs, "doc_id", field, "quality", F.col("quality").isNotNull()
     )
 
 
@@ -942,9 +935,9 @@ def text_score_oof(spark, folder):
         .when(scalars.even_fold(scalars.uniform_from_id(F.col("doc_id"), "val"), 5) == 0, "validation")
         .otherwise("train"),
     )
-    field = text_scores.TextField("text", 2, 2, 4e-6)
+    field = text_scores.TextField("text", 4, 2, 4e-6)
     return text_scores.score_refitted_vocabulary(
-        docs, "doc_id", field, "quality", "split", "text_tfidf", folds=3, bits=14
+        docs, "doc_id", field, "quality", "split", "text_tfidf"
     )
 
 
@@ -991,11 +984,9 @@ def _second_features(spark, folder):
     def build():
         d = second.labelled(loaded, SECOND)
         docs = materialize(second.routed_essays(loaded, second.project_list(d)), "routed")
-        scores = text_scores.score_refitted_vocabulary(
-            docs, "projectid", SECOND.text_fields[0], "y", "split", "essay_tfidf",
-            SECOND.folds, SECOND.text_bits,
+        return second.features(
+            loaded, SECOND, second.token_counts(loaded.essays), second.scored_texts(docs, SECOND)
         )
-        return second.features(loaded, SECOND, second.token_counts(loaded.essays), scores)
 
     return stored(spark, folder, "second-features", build)
 

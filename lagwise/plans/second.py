@@ -16,7 +16,7 @@ from lagwise.operators.curve import attach_factor, maturity_curve
 from lagwise.operators.encode import Encoding, target_encode_all
 from lagwise.operators.lookback import Prior, look_back
 from lagwise.plans import learners
-from lagwise.plans.text_scores import SECOND_SCHEME, TextField, score_refitted_vocabulary
+from lagwise.plans.text_scores import SECOND_SCHEME, TextField, refitted_columns
 from lagwise.session import materialize
 from lagwise.sources.tables import Tables, one_essay
 
@@ -150,7 +150,7 @@ TREES_BOOSTED, TREES_FOREST, TREES_COARSE = 7300, 5000, 3000
 
 @dataclass(frozen=True)
 class SecondSettings:
-    """Dates and sizes. Boosting runs at 10x the original rate with a tenth of the trees."""
+    """Dates and sizes; the defaults are the original ones."""
 
     start: dt.date = dt.date(2010, 4, 1)
     train_start: dt.date = dt.date(2011, 1, 1)
@@ -160,14 +160,13 @@ class SecondSettings:
     cohort_end: dt.date = dt.date(2014, 1, 1)
     data_end: dt.date = dt.date(2014, 5, 12)
     longest_age: int = 120
-    boost_share: float = 0.1
-    boost_rate: float = 0.1
+    boost_share: float = 1.0
+    boost_rate: float = 0.01
     tree_share: float = 1.0
-    forest_depth: int = 14
+    forest_depth: int = 30
     penalty_folds: int = 10
-    penalties: int = 20
+    penalties: int = 100
     folds: int = 10
-    text_bits: int = 18
     text_fields: tuple[TextField, ...] = field(default=SECOND_SCHEME)
 
     def trees(self, full: int) -> int:
@@ -212,12 +211,29 @@ def routed_essays(tables: Tables, projects: DataFrame) -> DataFrame:
     return essays.join(projects, "projectid", "inner").withColumn("split", split)
 
 
-def token_counts(essays: DataFrame) -> DataFrame:
-    """Words of the four raw text fields per project; the first copy of an essay counts."""
+def scored_texts(docs: DataFrame, s: SecondSettings) -> DataFrame:
+    """(projectid, <field>_tfidf of every text field) of routed essays, cleaned first.
+
+    NUL characters go and literal escapes become blanks before a text is split, or they would cut
+    words in two or add letters to them.
+    """
+    fields = [f.column for f in s.text_fields]
+    cleaned = docs.select(
+        "projectid", "y", "split", *[text.clean_text(text.strip_nul(F.col(c))).alias(c) for c in fields]
+    )
+    return refitted_columns(cleaned, "projectid", "y", "split", s.text_fields, s.folds)
+
+
+def token_counts(essays: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """Words of the four raw text fields per project; the first copy of an essay counts.
+
+    ``more`` names further columns to take from that copy.
+    """
     names = ["title", "short_description", "need_statement", "essay"]
     return one_essay(essays, assemble.keep_first).select(
         "projectid",
         *[text.word_count(text.strip_nul(F.col(c))).alias(f"{c}_cnt") for c in names],
+        *[column.alias(name) for name, column in (more or {}).items()],
     )
 
 
@@ -397,7 +413,7 @@ def logs() -> dict[str, Column]:
 
 
 def features(
-    tables: Tables, s: SecondSettings, counts: DataFrame, essay_scores: DataFrame
+    tables: Tables, s: SecondSettings, counts: DataFrame, text_scores: DataFrame
 ) -> DataFrame:
     """One row per project with every model input, plus the maturity factor."""
     gifts = donation_summary(tables.donations)
@@ -420,7 +436,7 @@ def features(
         "projectid",
         [
             (counts, None),
-            (essay_scores, None),
+            (text_scores, None),
             (
                 assemble.resource_summary(
                     held, "projectid", price, "item_quantity", "project_resource_type"
@@ -519,12 +535,8 @@ def run(tables: Tables, s: SecondSettings = SecondSettings()) -> DataFrame:
     """(projectid, date_posted, test, single scores, pred_day, is_exciting) for every project."""
     d = labelled(tables, s)
     docs = materialize(routed_essays(tables, project_list(d)), "routed-essays")
-    (essay,) = [f for f in s.text_fields if f.column == "essay"]
-    essay_scores = score_refitted_vocabulary(
-        docs, "projectid", essay, "y", "split", "essay_tfidf", s.folds, s.text_bits
-    )
     table = materialize(
-        features(tables, s, token_counts(tables.essays), essay_scores), "second-features"
+        features(tables, s, token_counts(tables.essays), scored_texts(docs, s)), "second-features"
     )
     result = table.select("projectid", "date_posted", "test", "factor")
     for scored in (

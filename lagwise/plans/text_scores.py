@@ -16,12 +16,14 @@ from pyspark.sql import types as T
 
 from lagwise.functions.scalars import descending_fold, even_fold, uniform_from_id
 from lagwise.functions.text import letter_tokens, ngrams, rich_tokens
+from lagwise.operators.evaluate import auc
 from lagwise.operators.lookup import lookup_join
 from lagwise.operators.tfidf import (
     document_frequency,
     smooth_idf,
     sublinear_tf,
     term_counts,
+    term_index,
     tfidf_weights,
 )
 from lagwise.plans.learners import FEATURES, probability, text_logistic
@@ -54,26 +56,22 @@ SECOND_SCHEME = (
 # ----------------------------------------------------------------------------------------
 
 
-def vectors(docs: DataFrame, doc: str, weights: DataFrame, bits: int) -> DataFrame:
-    """Add a sparse vector of 2^bits hashed terms to every document, written once.
+def vectors(docs: DataFrame, doc: str, weights: DataFrame, size: int) -> DataFrame:
+    """Add the sparse vector of (id, weight) rows to every document, written once.
 
     The table is stored with the vector's storage struct and read back as a vector column,
     so no Python runs per row. Documents without a known term get the zero vector.
     """
-    slots = 1 << bits
-    per_slot = (
-        weights.select(doc, F.pmod(F.xxhash64("term"), F.lit(slots)).cast("int").alias("_i"), "weight")
-        .groupBy(doc, "_i")
-        .agg(F.sum("weight").alias("_v"))
-    )
-    packed = per_slot.groupBy(doc).agg(
-        F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_slots")
+    packed = weights.groupBy(doc).agg(
+        F.sort_array(
+            F.collect_list(F.struct(F.col("id").cast("int").alias("_i"), F.col("weight").alias("_v")))
+        ).alias("_terms")
     )
     vector = F.struct(
         F.lit(0).cast("tinyint").alias("type"),
-        F.lit(slots).alias("size"),
-        F.coalesce(F.col("_slots._i"), F.array().cast("array<int>")).alias("indices"),
-        F.coalesce(F.col("_slots._v"), F.array().cast("array<double>")).alias("values"),
+        F.lit(max(size, 1)).alias("size"),
+        F.coalesce(F.col("_terms._i"), F.array().cast("array<int>")).alias("indices"),
+        F.coalesce(F.col("_terms._v"), F.array().cast("array<double>")).alias("values"),
     )
     table = docs.join(packed, doc, "left").select(*docs.columns, vector.alias(FEATURES))
     spark = docs.sparkSession
@@ -90,7 +88,6 @@ def score_fixed_vocabulary(
     y: str,
     trained: Column,
     folds: int = 10,
-    bits: int = 18,
 ) -> DataFrame:
     """(doc, pred_partial, pred): vocabulary from all documents, weights from trained rows.
 
@@ -105,9 +102,10 @@ def score_fixed_vocabulary(
     )
     tokens = ngrams(rich_tokens(F.col(field.column)), field.largest_ngram)
     counts = materialize(term_counts(docs, doc, field.column, tokens), "terms")
-    vocabulary = document_frequency(counts, field.min_df)
+    vocabulary = materialize(term_index(document_frequency(counts, field.min_df)), "vocabulary")
     total = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    table = vectors(base, doc, tfidf_weights(counts, doc, vocabulary, total), bits)
+    weights = tfidf_weights(counts, doc, vocabulary, total)
+    table = vectors(base, doc, weights, vocabulary.count())
 
     train = table.filter("_trained")
     full = text_logistic("_y", field.alpha).fit(train)
@@ -130,13 +128,13 @@ def score_refitted_vocabulary(
     split: str,
     name: str,
     folds: int = 10,
-    bits: int = 18,
 ) -> DataFrame:
     """(doc, score): vocabulary and weights refitted for every scope.
 
     Train rows are scored by the fit without their fold, validation rows by the fit on train,
     test rows by the fit on train and validation. ``split`` holds train, validation or test.
-    Document frequencies of all scopes come from one aggregation and one join.
+    Document frequencies of all scopes come from one aggregation and one join. All scopes share
+    one term index; a term unknown to a scope has no weight in its vectors.
     """
     fold = F.when(
         F.col(split) == "train",
@@ -161,6 +159,8 @@ def score_refitted_vocabulary(
         F.count(F.lit(1)).alias("_rows"),
         *[F.count(F.when(scope, 1)).alias(f"df_{s}") for s, scope in scopes.items()],
     )
+    frequencies = materialize(term_index(frequencies.filter(F.col("_rows") >= field.min_df)), "vocabulary")
+    size = frequencies.count()
     sizes = base.agg(*[F.count(F.when(scope, 1)).alias(s) for s, scope in scopes.items()]).first()
     known = materialize(
         lookup_join(counts, frequencies, ["term"], doc, "_rows"), "terms-with-frequencies"
@@ -174,7 +174,7 @@ def score_refitted_vocabulary(
             target = F.col("_split") == scope
         chosen = base.filter(member | target)
         weights = _scope_weights(known.filter(member | target), doc, f"df_{scope}", sizes[scope], field)
-        table = vectors(chosen, doc, weights, bits)
+        table = vectors(chosen, doc, weights, size)
         model = text_logistic("_y", field.alpha).fit(table.filter(member))
         scored = probability(model, table.filter(target), name, [doc])
         result = scored if result is None else result.unionByName(scored)
@@ -187,24 +187,46 @@ def _scope_weights(
     """Unit-length TF-IDF weights of one scope from counts that already carry frequencies."""
     raw = known.filter(F.col(frequency) >= field.min_df).select(
         doc,
-        "term",
+        "id",
         (sublinear_tf(F.col("tf")) * smooth_idf(F.lit(documents), F.col(frequency))).alias("_w"),
     )
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(doc)))
-    return raw.select(doc, "term", (F.col("_w") / length).alias("weight"))
+    return raw.select(doc, "id", (F.col("_w") / length).alias("weight"))
 
 
 def score_columns(
     docs: DataFrame, doc: str, y: str, fields: Sequence[TextField], trained: Column,
-    folds: int = 10, bits: int = 18,
+    folds: int = 10,
 ) -> DataFrame:
     """One row per document with <field>_<y>_pred_partial and <field>_<y>_pred per field."""
     result = docs.select(doc)
     for field in fields:
-        scored = score_fixed_vocabulary(docs, doc, field, y, trained, folds, bits).select(
+        scored = score_fixed_vocabulary(docs, doc, field, y, trained, folds).select(
             doc,
             F.col("pred_partial").alias(f"{field.column}_{y}_pred_partial"),
             F.col("pred").alias(f"{field.column}_{y}_pred"),
         )
         result = result.join(scored, doc, "left")
     return result
+
+
+def refitted_columns(
+    docs: DataFrame, doc: str, y: str, split: str, fields: Sequence[TextField], folds: int = 10
+) -> DataFrame:
+    """One row per document with <field>_tfidf for every field, vocabulary refitted per scope."""
+    result = docs.select(doc)
+    for field in fields:
+        name = f"{field.column}_tfidf"
+        scored = score_refitted_vocabulary(docs, doc, field, y, split, name, folds)
+        result = result.join(scored.select(doc, name), doc, "left")
+    return result
+
+
+def fold_auc(scored: DataFrame, score: str, y: str, fold: Column, folds: int) -> DataFrame:
+    """(fold, positives, negatives, auc) of out-of-fold scores, one row per fold."""
+    marked = materialize(scored.select(fold.alias("_fold"), score, y), "fold-scores")
+    result = None
+    for number in range(folds):
+        row = auc(marked.filter(F.col("_fold") == number), score, y).select(F.lit(number).alias("fold"), "*")
+        result = row if result is None else result.unionByName(row)
+    return result

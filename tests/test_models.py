@@ -52,20 +52,39 @@ def test_penalty_path_starts_at_the_data_and_ends_at_the_ratio(spark):
     assert path == sorted(path, reverse=True)
 
 
-@pytest.mark.parametrize("splits, depth", [(1, 1), (3, 2), (6, 2), (7, 3)])
+@pytest.mark.parametrize("splits, depth", [(1, 1), (3, 2), (4, 3), (6, 3), (7, 3)])
 def test_split_count_becomes_depth(spark, splits, depth):
     assert learners.boosted_trees("y", 1, splits, 0.1, 0.5, 1).getMaxDepth() == depth
 
 
-def test_design_matrix_drops_first_level_and_refuses_large_columns(spark, monkeypatch):
+def test_design_matrix_drops_first_level(spark):
     df = spark.createDataFrame([(1.0, "b"), (2.0, "a"), (3.0, "zz")], "n DOUBLE, c STRING")
     matrix, names = learners.design_matrix(df.filter("c <> 'zz'"), df, ["n"], ["c"])
     assert names == ["intercept", "n", "cb"]
     found = matrix.orderBy("n").select("x_0", "x_1", "x_2").collect()
     assert [tuple(r) for r in found] == [(1.0, 1.0, 1.0), (1.0, 2.0, 0.0), (1.0, 3.0, 0.0)]
-    monkeypatch.setattr(learners, "MAX_LEVELS", 2)
-    with pytest.raises(ValueError, match="too many levels"):
-        learners.design_matrix(df, df, ["n"], ["c"])
+
+
+def test_one_input_per_feature_and_more_levels_than_bins(spark):
+    from lagwise.plans import first, second
+
+    for features, kinds in ((second.MATRIX_FEATURES, set()), (first.MATRIX_FEATURES, first.CATEGORICAL)):
+        df = spark.createDataFrame([(1, 0.0, *[1.0] * len(features))], ["id", "y", *features])
+        _, numeric, categorical = learners.complete(df, *learners.by_kind(features, kinds), ["id", "y"])
+        assert len(numeric) + len(categorical) == len(features)
+    rows = spark.range(300).select("id", (F.col("id") % 2).cast("double").alias("y"), F.concat(F.lit("v"), F.col("id") % 100).alias("c"))
+    inputs, numeric, categorical = learners.complete(rows, ["id"], ["c"], ["y"])
+    model = learners.fit(learners.boosted_trees("y", 1, 3, 0.1, 1.0, 1), learners.tree_inputs(numeric, categorical), inputs)
+    assert model.transform(inputs).count() == 300
+
+
+def test_term_ids_are_dense_in_any_number_of_slices(spark):
+    from lagwise.operators.tfidf import term_index
+
+    known = spark.range(500).select(F.format_string("t%03d", F.col("id")).alias("term"), F.lit(2).alias("df")).repartition(7)
+    for slices in (1, 6, None):
+        found = term_index(known, slices).orderBy("id").collect()
+        assert [(r.term, r.id) for r in found] == [(f"t{k:03d}", k) for k in range(500)]
 
 
 @pytest.fixture(scope="module")
@@ -81,7 +100,7 @@ def texts(spark):
 def test_out_of_fold_text_scores(texts):
     field = text_scores.TextField("t", 2, 2, 5e-6)
     scored = text_scores.score_fixed_vocabulary(
-        texts, "id", field, "y", F.col("split") == "train", folds=2, bits=10
+        texts, "id", field, "y", F.col("split") == "train", folds=2
     ).join(texts, "id")
     assert scored.count() == 120
     assert scored.filter("pred_partial IS NULL").count() == 40
@@ -92,7 +111,7 @@ def test_out_of_fold_text_scores(texts):
 def test_refitted_text_scores_cover_every_split_once(texts):
     field = text_scores.TextField("t", 2, 2, 5e-6)
     scored = text_scores.score_refitted_vocabulary(
-        texts, "id", field, "y", "split", "s", folds=2, bits=10
+        texts, "id", field, "y", "split", "s", folds=2
     ).join(texts, "id")
     assert scored.count() == 120 and scored.select("id").distinct().count() == 120
     assert scored.filter("(s > 0.5) <> (y = 1)").count() == 0
@@ -100,9 +119,10 @@ def test_refitted_text_scores_cover_every_split_once(texts):
 
 def test_documents_without_terms_get_a_zero_vector(spark):
     docs = spark.createDataFrame([(1,), (2,)], "id INT")
-    weights = spark.createDataFrame([(1, "a", 0.6), (1, "b", 0.8)], "id INT, term STRING, weight DOUBLE")
-    found = {r.id: r.features for r in text_scores.vectors(docs, "id", weights, 8).collect()}
-    assert found[2].numNonzeros() == 0 and found[2].size == 256
+    weights = spark.createDataFrame([(1, 5, 0.6), (1, 2, 0.8)], "doc INT, id LONG, weight DOUBLE")
+    docs = docs.withColumnRenamed("id", "doc")
+    found = {r.doc: r.features for r in text_scores.vectors(docs, "doc", weights, 8).collect()}
+    assert found[2].numNonzeros() == 0 and found[2].size == 8 and found[1][2] == 0.8
     assert found[1].norm(2) == pytest.approx(1.0)
 
 
