@@ -139,6 +139,47 @@ def entity_history(
     )
 
 
+def entity_histories(
+    df: DataFrame,
+    keys: Sequence[str],
+    day: str,
+    row_id: str,
+    responses: Sequence[str],
+    counted: Column | None = None,
+) -> DataFrame:
+    """The columns of ``entity_history`` for every key, one row per row of ``df``.
+
+    All entities are stacked under one (kind, value) key and looked back over once; one
+    aggregate by row id then sets the kinds beside each other. ``row_id`` must be unique.
+    """
+    marked = df.withColumns(
+        {
+            "_one": F.lit(1),
+            "_counted": F.lit(1) if counted is None else counted.cast("int"),
+        }
+    )
+    kinds = F.array(
+        *[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in keys]
+    )
+    known = F.filter(kinds, lambda e: e["value"].isNotNull())
+    stacked = marked.select(row_id, day, *responses, "_one", "_counted", F.explode(known).alias("_entity"))
+    parts = {f"{r}_prev": r for r in responses} | {"cnt": "_one", "cnt_train": "_counted"}
+    past = look_back(stacked, "_entity", day, row_id, [Prior(n, "sum", v) for n, v in parts.items()])
+    sides = past.select(
+        row_id, F.col("_entity.kind").alias("_kind"),
+        F.coalesce(F.datediff(day, "last_day"), F.lit(FIRST_ROW_DAYS)).alias("days"), *parts,
+    )
+    empty = {n: F.lit(None).cast(sides.schema[n].dataType) for n in ("_kind", "days", *parts)}
+    everyone = sides.unionByName(df.select(row_id, *[c.alias(n) for n, c in empty.items()]))
+    blank = {"days": FIRST_ROW_DAYS} | {n: 0 for n in parts}
+    return everyone.groupBy(row_id).agg(
+        *[
+            F.coalesce(F.max(F.when(F.col("_kind") == k, F.col(n))), F.lit(v)).alias(f"{k}_{n}")
+            for k in keys for n, v in blank.items()
+        ]
+    )
+
+
 def lag_features(
     df: DataFrame, key: str, day: str, row_id: str, value: str, gap_name: str, diff_name: str
 ) -> DataFrame:

@@ -17,7 +17,7 @@ from lagwise.operators.assemble import (
     star,
 )
 from lagwise.operators.calendar import trailing_rate
-from lagwise.operators.lookback import entity_history
+from lagwise.operators.lookback import entity_histories, entity_history
 from lagwise.operators.splits import training_mask
 from lagwise.plans import learners
 from lagwise.plans.text_scores import FIRST_SCHEME, TextField, score_columns
@@ -156,15 +156,10 @@ def history_base(tables: Tables, s: FirstSettings) -> DataFrame:
     )
 
 
-def histories(base: DataFrame, s: FirstSettings) -> dict[str, DataFrame]:
-    """One history table per entity, keyed by projectid."""
+def histories(base: DataFrame, s: FirstSettings) -> DataFrame:
+    """The histories of all entities, one row per project of ``base``."""
     counted = F.col("date_posted") < F.lit(s.test)
-    return {
-        key: entity_history(base, key, "date_posted", "projectid", LABELS, counted).drop(
-            key, "date_posted"
-        )
-        for key in HISTORY_KEYS
-    }
+    return entity_histories(base, HISTORY_KEYS, "date_posted", "projectid", LABELS, counted)
 
 
 def donor_base(tables: Tables) -> DataFrame:
@@ -218,10 +213,8 @@ def assemble(tables: Tables, s: FirstSettings, text_scores: DataFrame | None = N
     stay NULL.
     """
     fact = tables.projects.join(tables.outcomes, "projectid", "left")
-    sides: list = [
-        (table, {c: 0 for c in table.columns if c != "projectid"})
-        for table in histories(history_base(tables, s), s).values()
-    ]
+    past = histories(history_base(tables, s), s)
+    sides: list = [(past, {c: 0 for c in past.columns if c != "projectid"})]
     if text_scores is not None:
         sides.append((text_scores, None))
     donors = materialize(donor_base(tables), "donor-base")

@@ -21,6 +21,9 @@ from lagwise.plans import final, first, learners, oracle, second, text_scores
 from lagwise.session import fresh_path, materialize
 from lagwise.sources import fixtures, tables
 
+# Dates and node sizes follow from the test tables. Numbers of trees, folds and penalties and the
+# depth of forests are below the defaults of the plans here: the full fits take hours on one
+# machine. Texts, fields, n-grams, features and rows are never cut.
 FIRST = first.FirstSettings(
     history_start=dt.date(1995, 7, 1),
     text_validation=dt.date(2000, 1, 1),
@@ -34,6 +37,7 @@ FIRST = first.FirstSettings(
     min_rows=20,
     forest_min_rows=20,
     forest_depth=6,
+    folds=2,
 )
 SECOND = second.SecondSettings(
     start=dt.date(1995, 7, 1),
@@ -47,6 +51,7 @@ SECOND = second.SecondSettings(
     forest_depth=6,
     penalty_folds=2,
     penalties=3,
+    folds=2,
 )
 PRICE = "total_price_excluding_optional_support"
 TIE_SHIFT = oracle.TIE_SHIFT
@@ -366,10 +371,7 @@ def prior_extremes(spark, folder):
 @query
 def prior_rates(spark, folder):
     base = first.history_base(fixtures.load(spark, folder), FIRST)
-    joined = base.select("projectid")
-    for past in first.histories(base, FIRST).values():
-        joined = joined.join(past, "projectid")
-    return joined.select(
+    return first.histories(base, FIRST).select(
         "projectid", *[rounded(rate).alias(name) for name, rate in first.prior_rates().items()]
     )
 
@@ -377,12 +379,7 @@ def prior_rates(spark, folder):
 @query
 def credibility_rate(spark, folder):
     base = first.history_base(fixtures.load(spark, folder), FIRST)
-    histories = first.histories(base, FIRST)
-    joined = (
-        base.select("projectid")
-        .join(histories["teacher_acctid"], "projectid")
-        .join(histories["schoolid"], "projectid")
-    )
+    joined = first.histories(base, FIRST)
     names = [
         "pred0", "teacher_acctid_y_prev_rate_cred", "schoolid_y_prev_rate_cred",
         "schoolid_y_prev_rate_cred_cap",
@@ -937,7 +934,7 @@ def text_score_oof(spark, folder):
     )
     field = text_scores.TextField("text", 4, 2, 4e-6)
     return text_scores.score_refitted_vocabulary(
-        docs, "doc_id", field, "quality", "split", "text_tfidf"
+        docs, "doc_id", field, "quality", "split", "text_tfidf", folds=3
     )
 
 

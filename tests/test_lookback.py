@@ -117,6 +117,26 @@ def test_no_window_over_an_entity_reads_raw_rows(spark):
     )
     plan = entity_history(df, "k", "day", "id", ["y"])._jdf.queryExecution().executedPlan().toString()
     lines = plan.splitlines()
-    for position, line in enumerate(lines):
-        if "Window [" in line and "windowspecdefinition(k#" in line and ", id#" not in line:
-            assert any("HashAggregate" in below for below in lines[position + 1 : position + 5])
+    across = [
+        n for n, line in enumerate(lines)
+        if "Window [" in line and "windowspecdefinition(k#" in line and ", id#" not in line
+    ]
+    assert across
+    for position in across:
+        assert any("HashAggregate" in below for below in lines[position + 1 : position + 5])
+
+
+def test_all_entities_at_once_equal_one_by_one(spark):
+    from lagwise.operators.lookback import entity_histories
+
+    rows = [(i, None if i % 11 == 0 else i % 4, "a" if i % 10 else None, i // 25, i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "id LONG, k INT, c STRING, n INT, y INT").selectExpr(
+        "id", "k", "c", "date_add(DATE'2020-01-01', n) AS day", "y"
+    )
+    together = {r.id: r for r in entity_histories(df, ["k", "c"], "day", "id", ["y"], F.col("id") < 150).collect()}
+    assert len(together) == 200
+    for key in ("k", "c"):
+        alone = entity_history(df, key, "day", "id", ["y"], F.col("id") < 150)
+        for r in alone.collect():
+            for name in (f"{key}_days", f"{key}_y_prev", f"{key}_cnt", f"{key}_cnt_train"):
+                assert together[r.id][name] == r[name]
