@@ -22,10 +22,9 @@ null doc_id comes first; no documents give an empty folder that reads as no rows
 
 from __future__ import annotations
 
-import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,6 @@ from pyspark.sql import functions as F
 BLOCK_IDS = 1 << 16
 LEAST = -(1 << 63)
 SCHEMA = "part int, block int, first long, doc_ids array<long>, ends array<long>, bits int, payload binary"
-Encoder = Callable[[list[str]], list[np.ndarray]]
 
 
 def width(vocabulary: int) -> int:
@@ -79,8 +77,21 @@ def _byte_signs() -> dict[int, str]:
 
 
 _SIGNS = str.maketrans({chr(b): sign for b, sign in _byte_signs().items()})
-#: A line break or none, letters, and signs other than the apostrophe: pieces that never merge.
-_SIMPLE = re.compile(r"(\n?)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+#: Signs that, after letters, make one piece of their own; the apostrophe may belong to both.
+_SIGNS_ALONE = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+
+
+class _Memory(dict):
+    """Ids of the words seen; what is asked for and not there is encoded and kept."""
+
+    def __init__(self, encode: Callable[[str], bytes], earlier: dict[str, bytes]):
+        super().__init__()
+        self.encode, self.earlier = encode, earlier
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.earlier.get(word)
+        found = self[word] = self.encode(word) if found is None else found
+        return found
 
 
 class ByteLevelEncoder:
@@ -89,7 +100,8 @@ class ByteLevelEncoder:
     The library's splitting never puts blank space after other signs into one piece, so a text may be
     cut before any blank that follows a non-blank, and each cut-off word be encoded once and kept.
     Words of letters and closing signs go straight to the library's model; texts in which blanks
-    meet, or that spell a special token, go to the library whole.
+    meet, or that spell a special token, go to the library whole. When the memory is full, the words
+    of the one before it are forgotten.
     """
 
     def __init__(self, path: str, memory: int = 250_000):
@@ -97,55 +109,50 @@ class ByteLevelEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memory = memory
-        self.known: dict[str, bytes] = {}
-        self.earlier: dict[str, bytes] = {}  # what was known before the memory was last full
-        self.stems: dict[str, bytes] = {"": b""}
+        self.words = _Memory(self._word, {})
+        self.pieces = _Memory(self._piece, {})
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, text: str) -> list[str] | None:
+    def _piece(self, piece: str) -> bytes:
+        """A piece that the library's splitting would not cut any further."""
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1")
+        ids = [t.id for t in self.tokenizer.model.tokenize(piece.translate(_SIGNS))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        """A word that stands after a blank, or begins with the line break before it."""
+        breaks = word[0] == "\n"
+        letters = word.rstrip(_SIGNS_ALONE)
+        stem = letters[1:] if breaks else f" {letters}"
+        if not (stem if breaks else letters).isalpha():
+            return self._whole([word if breaks else stem + word[len(letters) :]])[0]
+        found = self.pieces[stem]
+        if breaks:
+            found = self.pieces["\n"] + found
+        return found if len(letters) == len(word) else found + self.pieces[word[len(letters) :]]
+
+    def _cut(self, text: str) -> list[str] | None:
         """Words without the blank before them, or with the line break before them."""
         if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
             return None
-        words = text.replace("\n", " \n").split(" ")
-        return words if all(map(str.isprintable, text.split("\n"))) and not any(s in text for s in self.special) else None
-
-    def _stem(self, piece: str) -> bytes:
-        found = self.stems.get(piece)
-        if found is None:
-            tokens = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(_SIGNS))
-            found = self.stems[piece] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
-        return found
-
-    def _learn(self, words: list[str]) -> None:
-        rest = []
-        for word in words:
-            if word in self.earlier:
-                self.known[word] = self.earlier[word]
-                continue
-            parts = _SIMPLE.fullmatch(word)
-            if parts and parts[2].isalpha():
-                line, letters, signs = parts.groups()
-                self.known[word] = self._stem(line) + self._stem(letters if line else f" {letters}") + self._stem(signs)
-            else:
-                rest.append(word)
-        for word, found in zip(rest, self._whole([w if w[0] == "\n" else f" {w}" for w in rest])):
-            self.known[word] = found
+        if any(s in text for s in self.special) or not text.replace("\n", "").isprintable():
+            return None
+        return text.replace("\n", " \n").split(" ")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        split = [self._words(t) for t in texts]
-        whole = iter(self._whole([t for t, w in zip(texts, split) if w is None]))
-        heads = iter(self._whole([w[0] for w in split if w is not None]))
-        if len(self.known) > self.memory:
-            self.earlier, self.known = self.known, {}
-        if len(self.stems) > self.memory:
-            self.stems = {"": b""}
-        known = self.known
-        self._learn([w for w in set(chain.from_iterable(w[1:] for w in split if w is not None)) if w not in known])
-        return [next(whole) if w is None else next(heads) + b"".join(map(known.__getitem__, w[1:])) for w in split]
+        for name, encode in (("words", self._word), ("pieces", self._piece)):
+            held = getattr(self, name)
+            if len(held) > self.memory:
+                setattr(self, name, _Memory(encode, dict(held)))
+        cut = [self._cut(t) for t in texts]
+        whole = iter(self._whole([t if w is None else w[0] for t, w in zip(texts, cut)]))
+        get = self.words.__getitem__
+        return [next(whole) if w is None else next(whole) + b"".join(map(get, w[1:])) for w in cut]
 
 
 _encoders: dict[str, ByteLevelEncoder] = {}
