@@ -815,7 +815,7 @@ def _build() -> dict[str, str]:
     sql["term_index"] = f"""
     WITH {tokens}, {grams(4)}, known AS (
       SELECT term, count(DISTINCT doc_id) AS df FROM grams GROUP BY term HAVING count(DISTINCT doc_id) >= 2)
-    SELECT term, df, row_number() OVER (ORDER BY term) - 1 AS id FROM known"""
+    SELECT term, df, row_number() OVER (ORDER BY term) - 1 AS term_id FROM known"""
     sql["tfidf"] = f"""
     WITH {tokens}, {grams(2)}, counts AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY 1, 2),
       idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf

@@ -895,7 +895,7 @@ def doc_freq_by_fold(spark, folder):
 @query
 def term_index(spark, folder):
     _, counts = _counts(spark, folder, 4)
-    return terms.term_index(terms.document_frequency(counts, 2)).select("term", "df", "id")
+    return terms.term_index(terms.document_frequency(counts, 2)).select("term", "df", "term_id")
 
 
 @query

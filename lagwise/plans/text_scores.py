@@ -57,14 +57,14 @@ SECOND_SCHEME = (
 
 
 def vectors(docs: DataFrame, doc: str, weights: DataFrame, size: int) -> DataFrame:
-    """Add the sparse vector of (id, weight) rows to every document, written once.
+    """Add the sparse vector of (term_id, weight) rows to every document, written once.
 
     The table is stored with the vector's storage struct and read back as a vector column,
     so no Python runs per row. Documents without a known term get the zero vector.
     """
     packed = weights.groupBy(doc).agg(
         F.sort_array(
-            F.collect_list(F.struct(F.col("id").cast("int").alias("_i"), F.col("weight").alias("_v")))
+            F.collect_list(F.struct(F.col("term_id").cast("int").alias("_i"), F.col("weight").alias("_v")))
         ).alias("_terms")
     )
     vector = F.struct(
@@ -187,11 +187,11 @@ def _scope_weights(
     """Unit-length TF-IDF weights of one scope from counts that already carry frequencies."""
     raw = known.filter(F.col(frequency) >= field.min_df).select(
         doc,
-        "id",
+        "term_id",
         (sublinear_tf(F.col("tf")) * smooth_idf(F.lit(documents), F.col(frequency))).alias("_w"),
     )
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(doc)))
-    return raw.select(doc, "id", (F.col("_w") / length).alias("weight"))
+    return raw.select(doc, "term_id", (F.col("_w") / length).alias("weight"))
 
 
 def score_columns(

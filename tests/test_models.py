@@ -83,8 +83,8 @@ def test_term_ids_are_dense_in_any_number_of_slices(spark):
 
     known = spark.range(500).select(F.format_string("t%03d", F.col("id")).alias("term"), F.lit(2).alias("df")).repartition(7)
     for slices in (1, 6, None):
-        found = term_index(known, slices).orderBy("id").collect()
-        assert [(r.term, r.id) for r in found] == [(f"t{k:03d}", k) for k in range(500)]
+        found = term_index(known, slices).orderBy("term_id").collect()
+        assert [(r.term, r.term_id) for r in found] == [(f"t{k:03d}", k) for k in range(500)]
 
 
 @pytest.fixture(scope="module")
@@ -119,7 +119,7 @@ def test_refitted_text_scores_cover_every_split_once(texts):
 
 def test_documents_without_terms_get_a_zero_vector(spark):
     docs = spark.createDataFrame([(1,), (2,)], "id INT")
-    weights = spark.createDataFrame([(1, 5, 0.6), (1, 2, 0.8)], "doc INT, id LONG, weight DOUBLE")
+    weights = spark.createDataFrame([(1, 5, 0.6), (1, 2, 0.8)], "doc INT, term_id LONG, weight DOUBLE")
     docs = docs.withColumnRenamed("id", "doc")
     found = {r.doc: r.features for r in text_scores.vectors(docs, "doc", weights, 8).collect()}
     assert found[2].numNonzeros() == 0 and found[2].size == 8 and found[1][2] == 0.8
