@@ -82,7 +82,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) -> DataFr
                 _CELL[name], F.when(F.col("held") > 0, F.lit(float(total)) * F.col("target") / F.col("held")).otherwise(0.0).alias("factor")
             )
             now = now.join(factor, _CELL[name]).withColumn(_WEIGHT, F.col(_WEIGHT) * F.col("factor")).drop("factor")
-        now = materialize(now, "raked")
+            now = materialize(now, "raked")  # each step reads its cells twice: keep plans from growing
     return now
 
 
