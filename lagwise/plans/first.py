@@ -126,6 +126,7 @@ class FirstSettings:
     forest_depth: int = 30
     folds: int = 10
     text_fields: tuple[TextField, ...] = field(default=FIRST_SCHEME)
+    text_iterations: int = learners.ITERATIONS
 
     def trees(self, full: int) -> int:
         return max(1, round(full * self.tree_share))
@@ -326,7 +327,8 @@ def text_features(tables: Tables, s: FirstSettings) -> DataFrame:
         "clean-text",
     )
     scores = score_columns(
-        cleaned, "projectid", "y", s.text_fields, training_mask("split"), s.folds
+        cleaned, "projectid", "y", s.text_fields, training_mask("split"), s.folds,
+        s.text_iterations,
     )
     lengths = cleaned.select(
         "projectid", *[text.word_count(F.col(c)).alias(f"{c}_length") for c in columns]

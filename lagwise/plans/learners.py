@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 FEATURES = "features"
 #: Cuts tried for a numeric input; categories with more levels raise it to their number.
 BINS = 64
+#: Ends a logistic fit that does not reach its tolerance.
+ITERATIONS = 1000
 
 
 def impute_flags(
@@ -175,7 +177,7 @@ def coarse_forest(
 def ridge_cv(label: str, penalties: Sequence[float], folds: int, seed: int = 1) -> CrossValidator:
     """Ridge logistic regression with the penalty of the smallest cross-validated log loss."""
     logistic = LogisticRegression(
-        labelCol=label, featuresCol=FEATURES, elasticNetParam=0.0, maxIter=1000
+        labelCol=label, featuresCol=FEATURES, elasticNetParam=0.0, maxIter=ITERATIONS
     )
     grid = ParamGridBuilder().addGrid(logistic.regParam, list(penalties)).build()
     return CrossValidator(
@@ -211,7 +213,7 @@ def penalty_path(largest: float, smallest_ratio: float = 0.005, steps: int = 6)
     return [largest * smallest_ratio ** (i / (steps - 1)) for i in range(steps)]
 
 
-def text_logistic(label: str, alpha: float, iterations: int = 1000) -> LogisticRegression:
+def text_logistic(label: str, alpha: float, iterations: int = ITERATIONS) -> LogisticRegression:
     """L2 logistic regression on unscaled TF-IDF vectors; mean loss + alpha / 2 * |w|^2.
 
     It stops at the tolerance; ``iterations`` only ends a fit that does not converge. The weights

@@ -21,8 +21,8 @@ from lagwise.plans import final, first, learners, oracle, second, text_scores
 from lagwise.session import fresh_path, materialize
 from lagwise.sources import fixtures, tables
 
-# Dates and node sizes follow from the test tables. Numbers of trees, folds and penalties and the
-# depth of forests are below the defaults of the plans here: the full fits take hours on one
+# Dates and node sizes follow from the test tables. Numbers of trees, folds, penalties and steps of
+# the text fits and the depth of forests are below the defaults of the plans here: the full fits take hours on one
 # machine. Texts, fields, n-grams, features and rows are never cut.
 FIRST = first.FirstSettings(
     history_start=dt.date(1995, 7, 1),
@@ -38,6 +38,7 @@ FIRST = first.FirstSettings(
     forest_min_rows=20,
     forest_depth=6,
     folds=2,
+    text_iterations=20,
 )
 SECOND = second.SecondSettings(
     start=dt.date(1995, 7, 1),
@@ -52,6 +53,7 @@ SECOND = second.SecondSettings(
     penalty_folds=2,
     penalties=3,
     folds=2,
+    text_iterations=20,
 )
 PRICE = "total_price_excluding_optional_support"
 TIE_SHIFT = oracle.TIE_SHIFT

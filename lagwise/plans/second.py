@@ -168,6 +168,7 @@ class SecondSettings:
     penalties: int = 100
     folds: int = 10
     text_fields: tuple[TextField, ...] = field(default=SECOND_SCHEME)
+    text_iterations: int = learners.ITERATIONS
 
     def trees(self, full: int) -> int:
         return max(1, round(full * self.tree_share))
@@ -221,7 +222,7 @@ def scored_texts(docs: DataFrame, s: SecondSettings) -> DataFrame:
     cleaned = docs.select(
         "projectid", "y", "split", *[text.clean_text(text.strip_nul(F.col(c))).alias(c) for c in fields]
     )
-    return refitted_columns(cleaned, "projectid", "y", "split", s.text_fields, s.folds)
+    return refitted_columns(cleaned, "projectid", "y", "split", s.text_fields, s.folds, s.text_iterations)
 
 
 def token_counts(essays: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ from lagwise.operators.tfidf import (
     term_index,
     tfidf_weights,
 )
-from lagwise.plans.learners import FEATURES, probability, text_logistic
+from lagwise.plans.learners import FEATURES, ITERATIONS, probability, text_logistic
 from lagwise.session import fresh_path, materialize
 
 
@@ -88,6 +88,7 @@ def score_fixed_vocabulary(
     y: str,
     trained: Column,
     folds: int = 10,
+    iterations: int = ITERATIONS,
 ) -> DataFrame:
     """(doc, pred_partial, pred): vocabulary from all documents, weights from trained rows.
 
@@ -108,11 +109,11 @@ def score_fixed_vocabulary(
     table = vectors(base, doc, weights, vocabulary.count())
 
     train = table.filter("_trained")
-    full = text_logistic("_y", field.alpha).fit(train)
+    full = text_logistic("_y", field.alpha, iterations).fit(train)
     scored = probability(full, table, "pred", [doc])
     partial = None
     for fold in range(folds):
-        model = text_logistic("_y", field.alpha).fit(train.filter(F.col("_fold") != fold))
+        model = text_logistic("_y", field.alpha, iterations).fit(train.filter(F.col("_fold") != fold))
         left_out = probability(
             model, train.filter(F.col("_fold") == fold), "pred_partial", [doc]
         )
@@ -128,6 +129,7 @@ def score_refitted_vocabulary(
     split: str,
     name: str,
     folds: int = 10,
+    iterations: int = ITERATIONS,
 ) -> DataFrame:
     """(doc, score): vocabulary and weights refitted for every scope.
 
@@ -175,7 +177,7 @@ def score_refitted_vocabulary(
         chosen = base.filter(member | target)
         weights = _scope_weights(known.filter(member | target), doc, f"df_{scope}", sizes[scope], field)
         table = vectors(chosen, doc, weights, size)
-        model = text_logistic("_y", field.alpha).fit(table.filter(member))
+        model = text_logistic("_y", field.alpha, iterations).fit(table.filter(member))
         scored = probability(model, table.filter(target), name, [doc])
         result = scored if result is None else result.unionByName(scored)
     return result
@@ -196,12 +198,12 @@ def _scope_weights(
 
 def score_columns(
     docs: DataFrame, doc: str, y: str, fields: Sequence[TextField], trained: Column,
-    folds: int = 10,
+    folds: int = 10, iterations: int = ITERATIONS,
 ) -> DataFrame:
     """One row per document with <field>_<y>_pred_partial and <field>_<y>_pred per field."""
     result = docs.select(doc)
     for field in fields:
-        scored = score_fixed_vocabulary(docs, doc, field, y, trained, folds).select(
+        scored = score_fixed_vocabulary(docs, doc, field, y, trained, folds, iterations).select(
             doc,
             F.col("pred_partial").alias(f"{field.column}_{y}_pred_partial"),
             F.col("pred").alias(f"{field.column}_{y}_pred"),
@@ -211,13 +213,14 @@ def score_columns(
 
 
 def refitted_columns(
-    docs: DataFrame, doc: str, y: str, split: str, fields: Sequence[TextField], folds: int = 10
+    docs: DataFrame, doc: str, y: str, split: str, fields: Sequence[TextField], folds: int = 10,
+    iterations: int = ITERATIONS,
 ) -> DataFrame:
     """One row per document with <field>_tfidf for every field, vocabulary refitted per scope."""
     result = docs.select(doc)
     for field in fields:
         name = f"{field.column}_tfidf"
-        scored = score_refitted_vocabulary(docs, doc, field, y, split, name, folds)
+        scored = score_refitted_vocabulary(docs, doc, field, y, split, name, folds, iterations)
         result = result.join(scored.select(doc, name), doc, "left")
     return result
 
