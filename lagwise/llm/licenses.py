@@ -1,8 +1,11 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences (after ``.``, ``!`` or ``?`` before white space, and at line breaks).
-A sentence is normalised to lower-case ASCII letters and digits with single blanks between, and
-looked up among the known licence sentences. What is known of a text is a sequence of identifiers;
+A text is cut into pieces after ``.``, ``!`` or ``?`` before white space (not after ``v.``) and at line
+breaks. A piece is normalised to lower-case ASCII letters and digits with single blanks between, which
+also takes off comment leaders. A sentence is a piece or a run of pieces that are parted by single line
+breaks only: no end sign and no line without letters and digits stands between them. The longest run
+from a place on that is among the known licence sentences counts, and the next begins after it, so
+that wrapped sentences are known whatever the width. What is known of a text is a sequence of identifiers;
 a licence is found where the identifiers of its rule follow one another in that sequence in order,
 other known or unknown sentences between them allowed. Whole texts are scanned, row by row; there is
 no shuffle. Texts without any of the words that every known sentence holds one of have no known
@@ -73,6 +76,18 @@ RULES = {
     "proprietary": [["all-rights-reserved"]],
 }
 
+# Known sentences and rules that came later. The SQL, which reads single lines, has them not.
+LATER_SENTENCES = {
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "apache-2-notice",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+}
+LATER_RULES = {"BSD-3-Clause": [["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]]}
+#: An identifier that, next after those of a rule, means another licence.
+NOT_BEFORE = {"BSD-2-Clause": "bsd-endorse"}
+#: Names that a sentence is filled in with, and what stands for them in the known sentence.
+FILLED_IN = [("^neither the name of .+ nor the names of (?:its|their|the) contributors may ", "neither the name of the copyright holder nor the names of its contributors may ")]
+
 # Every known sentence holds one of these.
 SIGNAL = "(?i)licen|copyright|warrant|permission|permitted|redistribut|all rights"
 
@@ -83,9 +98,10 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(sentence, _UPPER, _LOWER), "[^a-z0-9]+", " "))
 
 
-def sentences(text: Column) -> Column:
-    """Array of the sentences of a text, blank ones included."""
-    return F.split(F.regexp_replace(text, r"([.!?])[ \t\r\n]+", "$1\n"), "\n")
+def pieces(text: Column) -> Column:
+    """Array of the normalised pieces of a text, blank ones included; a ``.`` ends those that end a sentence."""
+    cut = F.split(F.regexp_replace(text, r"(?<!\b[vV])([.!?])[ \t\r\n]+", "$1\u0001\n"), "\n")
+    return F.transform(cut, lambda s: F.concat(normalised(s), F.when(s.endswith("\u0001") | (normalised(s) == ""), F.lit(".")).otherwise(F.lit(""))))
 
 
 def rule_pattern(rule: list[str]) -> str:
@@ -94,8 +110,45 @@ def rule_pattern(rule: list[str]) -> str:
 
 
 def _known(sentence: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    return F.try_element_at(table, normalised(sentence))
+    """Identifier of a normalised sentence."""
+    for filled, name in FILLED_IN:
+        sentence = F.regexp_replace(sentence, filled, name)
+    table = F.create_map(*[F.lit(x) for pair in (SENTENCES | LATER_SENTENCES).items() for x in pair])
+    return F.try_element_at(table, sentence)
+
+
+def _begins() -> str:
+    """Pattern of a piece that a known sentence may begin with."""
+    pairs = {tuple(s.split()[:2]) for s in SENTENCES | LATER_SENTENCES}
+    return "^(?:" + "|".join(sorted(f"{one}(?: {two}\\b.*)?" for one, two in pairs)) + ")\\.?$"
+
+
+def known_runs(text: Column) -> Column:
+    """Array of (place, id) of the known sentences; a place is a number of pieces before."""
+    none = F.array().cast("array<struct<place:int,id:string>>")
+    longest = 2 * max(len(s.split()) for s in SENTENCES | LATER_SENTENCES)  # a line has a word at least; names take some
+
+    def known_from(cut: Column, place: Column) -> Column:
+        # a run ends with the first piece that ends a sentence
+        ahead = F.slice(cut, place + 1, longest)
+        end = F.array_position(F.transform(ahead, lambda s: s.endswith(".")), True).cast("int")
+        lengths = F.sequence(F.when(end > 0, end).otherwise(F.size(ahead)), F.lit(1), F.lit(-1))
+        ids = F.transform(lengths, lambda n: F.struct(n.alias("n"), _known(F.rtrim(F.array_join(F.slice(ahead, 1, n), " "), F.lit("."))).alias("id")))
+        return F.filter(ids, lambda x: x["id"].isNotNull())
+
+    def step(state: Column, place: Column, cut: Column) -> Column:
+        hit = F.transform(
+            F.slice(known_from(cut, place), 1, 1),
+            lambda x: F.struct((place + x["n"]).alias("free"), F.concat(state["found"], F.array(F.struct(place.alias("place"), x["id"].alias("id")))).alias("found")),
+        )
+        return F.when(place < state["free"], state).otherwise(F.coalesce(F.get(hit, F.lit(0)), state))
+
+    def runs(cut: Column) -> Column:
+        begins = F.filter(F.transform(cut, lambda s, i: F.when(s.rlike(_begins()), i)), lambda i: i.isNotNull())
+        start = F.struct(F.lit(0).alias("free"), none.alias("found"))
+        return F.aggregate(begins, start, lambda state, place: step(state, place, cut))["found"]
+
+    return F.get(F.transform(F.array(pieces(text)), runs), F.lit(0))
 
 
 def scan(documents: DataFrame, text: str = "text", sentences_name: str = "license_sentences", licenses_name: str = "licenses") -> DataFrame:
@@ -105,14 +158,15 @@ def scan(documents: DataFrame, text: str = "text", sentences_name: str = "licens
     """
     documents = documents.drop(sentences_name, licenses_name)
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    cut = F.transform(sentences(content), lambda s, i: F.struct(i.alias("place"), _known(s).alias("id")))
-    known = F.when(content.rlike(SIGNAL), F.filter(cut, lambda s: s["id"].isNotNull()))
+    known = F.when(content.rlike(SIGNAL), known_runs(content))
     none = F.array().cast("array<struct<place:int,id:string>>")
     found = documents.withColumn(sentences_name, F.coalesce(known, none))
     framed = F.concat(F.lit(","), F.array_join(F.col(sentences_name)["id"], ","), F.lit(","))
-    named = [
-        F.when(F.greatest(*[framed.rlike(rule_pattern(r)) for r in rules], F.lit(False)), F.lit(name)) for name, rules in sorted(RULES.items())
-    ]
+    named = []
+    for name, rules in sorted(RULES.items()):
+        other = f"(?!{NOT_BEFORE[name]},)" if name in NOT_BEFORE else ""
+        matched = [framed.rlike(rule_pattern(r) + other) for r in rules + LATER_RULES.get(name, [])]
+        named.append(F.when(F.greatest(*matched, F.lit(False)), F.lit(name)))
     return found.withColumn(licenses_name, F.array_compact(F.array(*named)))
 
 

@@ -50,3 +50,72 @@ def test_rules_ask_for_order(spark):
     import re
 
     assert all(re.search(licenses.SIGNAL, s) for s in licenses.SENTENCES)
+
+
+WRAPPED = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED.
+""",
+    "BSD-2-Clause": """Copyright (c) 2020, Some One
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+""",
+    "ISC": """Copyright (c) 2020, Some One
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+""",
+    "GPL-3.0": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY.
+""",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+""",
+    "Apache-2.0": """// Licensed under the Apache License, Version 2.0 (the "License"); you may not
+// use this file except in compliance with the License. You may obtain a copy
+""",
+}
+WRAPPED["BSD-3-Clause"] = WRAPPED["BSD-2-Clause"] + """
+3. Neither the name of Some One nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_wrapped_licences_are_known(spark):
+    texts = {**WRAPPED, "MIT ": "This project is licensed under the\nMIT License\nand not\n\nlicensed under the\n\napache license version 2.0"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    found = {r.doc_id: r for r in licenses.scan(df.repartition(2)).collect()}
+    assert {k: r.licenses for k, r in found.items()} == {k: [k.strip()] for k in texts}
+    df = spark.createDataFrame([(k, t.replace("\n", "\r\n")) for k, t in WRAPPED.items()], "doc_id string, text string")
+    assert {r.doc_id: r.licenses for r in licenses.scan(df).collect()} == {k: [k] for k in WRAPPED}
+    both = spark.createDataFrame([(WRAPPED["BSD-2-Clause"] + WRAPPED["BSD-3-Clause"],)], "text string")
+    assert licenses.scan(both).first().licenses == ["BSD-2-Clause", "BSD-3-Clause"]
