@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagwise.llm import (
-    decontaminate, histogram_shards, language, licenses, near_dedup, packed_ids, page_text, quality, raking, syncmers,
+    decontaminate, histogram_shards, language, licenses, line_runs, near_dedup, packed_ids, page_text, quality, raking, syncmers,
 )
 from lagwise.session import fresh_path
 
@@ -193,3 +193,23 @@ def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
         F.array_join("licenses", ",").alias("licenses"),
         (F.size("licenses") > 0).alias("licensed"),
     )
+
+
+@query(
+    r"""
+    WITH line AS (
+        SELECT r, doc_id, i, l[i] AS line,
+               translate(trim(l[i], chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '),
+                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+        FROM (SELECT r, doc_id, l, unnest(range(1, len(l) + 1)) AS i
+              FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))
+    ), common AS (SELECT k FROM line WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT r) >= 10)
+    SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(common.k) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE common.k IS NULL), '')) AS kept_sha256
+    FROM line LEFT JOIN common USING (k) GROUP BY r
+    """
+)
+def op12_line_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that ten documents or more share."""
+    kept = line_runs.without_common_lines(table(spark, folder, "documents").select("doc_id", "text"), min_docs=10)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
