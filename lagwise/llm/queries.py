@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagwise.llm import (
-    decontaminate, histogram_shards, language, licenses, line_runs, near_dedup, packed_ids, page_text, quality, raking, syncmers,
+    decontaminate, histogram_shards, language, licenses, line_runs, near_dedup, packed_ids, page_text, quality, raking, spelling,
+    syncmers,
 )
 from lagwise.session import fresh_path
 
@@ -213,3 +214,54 @@ def op12_line_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the lines that ten documents or more share."""
     kept = line_runs.without_common_lines(table(spark, folder, "documents").select("doc_id", "text"), min_docs=10)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query(
+    r"""
+    WITH RECURSIVE steps AS (
+        SELECT i, i::BIGINT AS v, 0 AS k FROM range(256) t(i)
+        UNION ALL
+        SELECT i, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8
+    ), tbl AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8),
+    run AS (
+        SELECT doc_id, run, count(*) AS n FROM (
+            SELECT doc_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+            FROM documents)
+        GROUP BY ALL HAVING length(run) >= 6
+    ), hexed AS (
+        SELECT doc_id, run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM run
+    ), sums AS (
+        SELECT run, n, xor(list_reduce(
+            [(strpos('0123456789ABCDEF', x[2 * j - 1]) * 16 + strpos('0123456789ABCDEF', x[2 * j]) - 17)::BIGINT FOR j IN range(1, length(x) // 2 + 1)],
+            lambda crc, byte: xor(crc >> 8, t[1 + xor(crc & 255, byte)]), 4294967295::BIGINT), 4294967295::BIGINT) AS h
+        FROM hexed, tbl
+    ), words AS (
+        SELECT word, sum(n)::BIGINT AS n FROM (
+            SELECT n, CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word
+            FROM sums)
+        WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+    ), cut AS (
+        SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+        FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+    ), near AS (
+        SELECT a.word AS w, b.word AS o, b.n AS o_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+        UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+    ), best AS (
+        SELECT w, o, o_n, count(*) OVER (PARTITION BY w) AS c, row_number() OVER (PARTITION BY w ORDER BY o_n DESC, encode(o)) AS place FROM near
+    ), form AS (
+        SELECT word, n, coalesce(c, 0) AS n_near, CASE WHEN o_n >= 5 * n THEN o END AS form, CASE WHEN o_n >= 5 * n THEN o_n END AS form_n
+        FROM words LEFT JOIN best ON w = word AND place = 1
+    ), chain AS (
+        SELECT word, word AS at, form AS next FROM form
+        UNION ALL SELECT chain.word, form.word, form.form FROM chain JOIN form ON chain.next = form.word
+    )
+    SELECT form.word, form.form, chain.at AS root, n, n_near, form_n
+    FROM form JOIN chain ON chain.word = form.word AND chain.next IS NULL
+    """
+)
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents with their near words, more frequent form and root."""
+    words = spelling.word_counts(table(spark, folder, "documents"), min_chars=6, min_count=5, one_in=199)
+    return spelling.variants(words, ratio=5).select("word", "form", "root", "n", "n_near", "form_n")
