@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagwise.llm import (
-    decontaminate, histogram_shards, language, licenses, line_runs, near_dedup, packed_ids, page_text, quality, raking, spelling,
-    syncmers,
+    decontaminate, histogram_shards, language, licenses, line_runs, near_dedup, packed_ids, page_text, phrases, quality, raking,
+    spelling, syncmers,
 )
 from lagwise.session import fresh_path
 
@@ -265,3 +265,40 @@ def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     """Words of all documents with their near words, more frequent form and root."""
     words = spelling.word_counts(table(spark, folder, "documents"), min_chars=6, min_count=5, one_in=199)
     return spelling.variants(words, ratio=5).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query(
+    r"""
+    WITH piece AS (
+        SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS p,
+               regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09]+') AS w
+        FROM (SELECT lang, unnest(regexp_split_to_array(coalesce(text, ''), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+    ), f AS (
+        SELECT lang, k, phrase, count(*) AS n FROM (
+            SELECT lang, k, unnest([array_to_string(w[i : i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase
+            FROM piece, range(1, 5) t(k))
+        GROUP BY ALL
+    ), many AS (SELECT * FROM f WHERE n >= 30),
+    cand AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM many WHERE k > 1),
+    cut AS (
+        SELECT cand.lang, cand.phrase, a, c, x.n AS l, y.n AS r, 2000000::HUGEINT * a // (x.n + y.n) AS score
+        FROM (SELECT *, unnest(range(1, k)) AS c FROM cand) cand
+        JOIN many x ON x.lang = cand.lang AND x.phrase = array_to_string(w[1 : c], ' ')
+        JOIN many y ON y.lang = cand.lang AND y.phrase = array_to_string(w[c + 1 : cand.k], ' ')
+    ), low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS place FROM cut),
+    part AS (
+        SELECT lang, a, array_to_string(w[i : i + z - 1], ' ') AS phrase
+        FROM (SELECT *, unnest(range(1, k - z + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS z FROM cand))
+    ), ranked AS (
+        SELECT lang, phrase, a, l, r, score,
+               row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+        FROM low WHERE place = 1 AND NOT EXISTS (
+            SELECT 1 FROM part WHERE part.lang = low.lang AND part.phrase = low.phrase AND 100::HUGEINT * part.a >= 80::HUGEINT * low.a)
+    )
+    SELECT lang, rank, phrase, a, l, r, t.n, score::BIGINT AS score
+    FROM ranked JOIN (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang) t USING (lang) WHERE rank <= 2000
+    """
+)
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2000 collocations of two to four words of every language."""
+    return phrases.collocations(table(spark, folder, "documents").select("text", "lang"), threshold=30, top=2000, percent=80)
