@@ -19,7 +19,7 @@ Tasks count with numpy what Spark deals out and Spark sums it: a task turns a bo
 word numbers and hashes, and writes (language, phrase, count) of the active phrases of that piece.
 
 Edge cases: null and empty texts have no words; a null language is ``und``; repeated rows count each; an
-empty table has no phrases. A text of any length is read in pieces of ``words.PIECE`` bytes cut at piece
+empty table has no phrases. A text of any length is read in pieces of ``PIECE`` bytes cut at piece
 ends, so a task's memory does not grow with it, unless one piece is longer. Other columns are not read.
 """
 
@@ -42,8 +42,10 @@ SLOTS = 1 << 23
 LATER = 255
 CHUNK = 1 << 16
 MOST_WORDS = 4
-#: ``since``: the step at which the phrase was activated
-SCHEMA = "lang string, length int, phrase string, since int, n long"
+#: ``since``: the step at which the phrase was activated; ``h``: its hash, whose low bits are its slot
+SCHEMA = "lang string, length int, phrase string, since int, h long, n long"
+#: Bytes of text that a task looks at together; larger pieces leave fewer rows to sum.
+PIECE = 4 << 20
 UNKNOWN = "und"
 
 #: Class of each byte: 0 between pieces, 1 between words, 2 in a word.
@@ -56,16 +58,16 @@ _IN_WORD = _KINDS == 2
 
 def _stretches(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, starts of texts in them, number of their text): whole texts, or parts of a long one cut at a piece's end."""
-    for at, stop in B.pieces(ends):
+    for at, stop in B.pieces(ends, PIECE, 1 << 16):
         low, high = int(ends[at]), int(ends[stop])
-        while high - low > 2 * B.PIECE:
-            cut = low + B.PIECE
+        while high - low > 2 * PIECE:
+            cut = low + PIECE
             while cut < high:
-                stops = np.flatnonzero(_PIECE_END[data[cut : min(cut + B.PIECE, high)]])
+                stops = np.flatnonzero(_PIECE_END[data[cut : min(cut + PIECE, high)]])
                 if len(stops):
                     cut += int(stops[0]) + 1
                     break
-                cut = min(cut + B.PIECE, high)
+                cut = min(cut + PIECE, high)
             yield data[low:cut], np.zeros(1, dtype=np.int64), np.array([at])
             low = cut
         starts = np.maximum(ends[at:stop] - low, 0)
@@ -83,7 +85,8 @@ def _word_column(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Arr
 
 
 def _slot(hashes: np.ndarray, slots: int) -> np.ndarray:
-    return (hashes % np.uint64(slots)).astype(np.int64)
+    """Slots of a table whose size is a power of two."""
+    return (hashes & np.uint64(slots - 1)).astype(np.int64)
 
 
 def lang_seed(lang: str) -> np.uint64:
@@ -156,19 +159,21 @@ class Counter:
 
         # the step since which each place's phrase is active, LATER where it is not or is cut by a piece's end
         since = np.zeros(len(code), dtype=np.int64)
+        hashes = phrase_hashes(word, 1, seed)
         for length in range(1, MOST_WORDS + 1):
             if length > 1:
-                shorter = np.maximum(since, self.reached[_slot(phrase_hashes(word, length - 1, seed), len(self.reached))])
+                shorter = np.maximum(since, self.reached[_slot(hashes, len(self.reached))])
+                hashes = phrase_hashes(word, length, seed)
                 since = np.maximum(shorter[:-1], shorter[1:])
                 since[piece[: len(since)] != piece[length - 1 :]] = LATER
             places = np.flatnonzero(self._active(since))
             if len(places):
-                yield self._counted(coded.dictionary, code, lang, since, places, length, names)
+                yield self._counted(coded.dictionary, code, lang, since, hashes, places, length, names)
             if not (since <= self.step).any():
                 return  # a longer phrase is never active before its parts
 
     @staticmethod
-    def _counted(dictionary, code, lang, since, places, length, names) -> pa.RecordBatch:
+    def _counted(dictionary, code, lang, since, hashes, places, length, names) -> pa.RecordBatch:
         key, bound = lang[places], len(names)
         for k in range(length):
             if bound * len(dictionary) >= 1 << 63:
@@ -185,30 +190,13 @@ class Counter:
         return pa.record_batch(
             [
                 pa.array(names, pa.string()).take(pa.array(lang[places[first]])), pa.array(np.full(len(first), length, dtype=np.int32)),
-                phrase.cast(pa.string()), pa.array(since[places[first]].astype(np.int32)), pa.array(counts.astype(np.int64)),
+                phrase.cast(pa.string()), pa.array(since[places[first]].astype(np.int32)),
+                pa.array(hashes[places[first]].view(np.int64)), pa.array(counts.astype(np.int64)),
             ],
-            names=["lang", "length", "phrase", "since", "n"],
+            names=["lang", "length", "phrase", "since", "h", "n"],
         )
 
 
-def _slots(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]:
-    """(slot, chunk of slots) of every phrase."""
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        langs, phrases, lengths = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        seeds = {name: lang_seed(name) for name in set(langs)}
-        hashes = _byte_hashes(pa.array([w for p in phrases for w in p.encode().split(b" ")], pa.large_binary()))
-        ends = np.cumsum(lengths)
-        found = np.empty(len(langs), dtype=np.int64)
-        for length in set(lengths):
-            of = np.flatnonzero(np.array(lengths) == length)
-            seed = np.array([seeds[langs[i]] for i in of], dtype=np.uint64)
-            words = [hashes[ends[of] - length + k] for k in range(length)]
-            found[of] = _slot(combined(words, seed), slots)
-        yield pa.record_batch([pa.array(found.astype(np.int32)), pa.array((found // CHUNK).astype(np.int32))], names=["slot", "chunk"])
-
-
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(chunk, bits of its slots): one row per chunk of this partition."""
     held: dict[int, np.ndarray] = {}
@@ -222,8 +210,8 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _mark(reached: np.ndarray, frequent: DataFrame, step: int) -> bool:
     """Enter ``step`` in the still empty slots of these phrases; whether there were any."""
-    size = len(reached)
-    slots = frequent.select("lang", "phrase", "length").mapInArrow(lambda b: _slots(b, size), "slot int, chunk int").distinct()
+    slot = F.col("h").bitwiseAND(F.lit(len(reached) - 1)).cast("int")
+    slots = frequent.select(slot.alias("slot"), (slot / CHUNK).cast("int").alias("chunk"))
     maps = slots.repartition(16, "chunk").mapInArrow(_bitmaps, "chunk int, bits binary")
     found = False
     for row in maps.collect():  # at most SLOTS / CHUNK rows of CHUNK bits
@@ -240,7 +228,7 @@ def phrase_counts(
 ) -> DataFrame:
     """(lang, length, phrase, n) of all words, and of all phrases of 2 to 4 words that occur ``threshold`` times.
 
-    ``slots`` is a multiple of CHUNK; four cycles of ``shards`` steps must stay below 255.
+    ``slots`` is a power of two of at least CHUNK; four cycles of ``shards`` steps must stay below 255.
     """
     spark = docs.sparkSession
     staged, counted = fresh_path(spark, "phrase-shards"), fresh_path(spark, "phrase-counts")
@@ -254,22 +242,22 @@ def phrase_counts(
         told = spark.sparkContext.broadcast(reached)
         run = (lambda table, now: lambda batches: Counter(now, shards, table.value)(batches))(told, step)
         found = rows.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(run, SCHEMA)
-        _total(found).write.parquet(f"{counted}/step={step}")
+        own = found.groupBy("lang", "length", "phrase").agg(F.min("since").alias("since"), F.min("h").alias("h"), F.sum("n").alias("n"))
+        own.write.parquet(f"{counted}/step={step}")
         told.destroy()
-        fresh = spark.read.schema(SCHEMA).parquet(f"{counted}/step={step}").where(F.col("length") < MOST_WORDS)
+        # phrases of one hash are taken together here, which activates longer phrases early at worst
+        fresh = spark.read.schema(SCHEMA).parquet(f"{counted}/step={step}").where(F.col("length") < MOST_WORDS).select("since", "h", "n")
         if open_counts is not None:
-            fresh = materialize(_total(fresh.unionByName(open_counts)), "phrases-open")
+            both = fresh.unionByName(open_counts).groupBy("h").agg(F.max("since").alias("since"), F.sum("n").alias("n"))
+            fresh = materialize(both, "phrases-open")
         if _mark(reached, fresh.where(F.col("n") >= threshold), step + 1):
             last = step + shards
         # what is yet to reach the threshold and still in its cycle
         open_counts = fresh.where((F.col("n") < threshold) & (F.col("since") + shards > step + 1))
         step += 1
-    total = _total(spark.read.schema(SCHEMA).parquet(*[f"{counted}/step={k}" for k in range(step)]))
-    return materialize(total.where((F.col("length") == 1) | (F.col("n") >= threshold)).drop("since"), "phrases")
-
-
-def _total(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("lang", "length", "phrase").agg(F.min("since").alias("since"), F.sum("n").alias("n"))
+    counts = spark.read.schema(SCHEMA).parquet(*[f"{counted}/step={k}" for k in range(step)])
+    total = counts.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n"))
+    return materialize(total.where((F.col("length") == 1) | (F.col("n") >= threshold)), "phrases")
 
 
 def scored(counts: DataFrame, threshold: int) -> DataFrame:
