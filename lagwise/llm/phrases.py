@@ -10,13 +10,14 @@ cycle, so each of its shards is counted once. Steps end one cycle after the last
 written once and each step reads one of them.
 
 What is active is told to the tasks by a table of ``SLOTS`` bytes, the same size for any corpus: the slot of
-a phrase's hash holds the earliest step at which a phrase of that slot reached the threshold. A phrase
-shares its slot with others, so it may be activated before its time, never too late, and is then counted
-for a full cycle like any other; counts are kept by the words themselves, so collisions change no result.
-A table that fills up prunes less and costs time only.
+a phrase's hash holds the earliest step at which a phrase of that slot reached the threshold. Between
+steps phrases are known by 64-bit hashes alone, which keeps what is shuffled narrow. A phrase that shares
+its hash or slot with others may be activated before its time or taken for frequent, never the reverse. One last
+scan therefore counts, by the words themselves, the phrases whose slots are taken, so collisions change no
+result. A table that fills up prunes less and costs time only.
 
 Tasks count with numpy what Spark deals out and Spark sums it: a task turns a bounded piece of text into
-word numbers and hashes, and writes (language, phrase, count) of the active phrases of that piece.
+word numbers and hashes, and writes the counts of the active phrases of that piece.
 
 Edge cases: null and empty texts have no words; a null language is ``und``; repeated rows count each; an
 empty table has no phrases. A text of any length is read in pieces of ``PIECE`` bytes cut at piece
@@ -42,8 +43,9 @@ SLOTS = 1 << 23
 LATER = 255
 CHUNK = 1 << 16
 MOST_WORDS = 4
-#: ``since``: the step at which the phrase was activated; ``h``: its hash, whose low bits are its slot
-SCHEMA = "lang string, length int, phrase string, since int, h long, n long"
+#: ``h``: the phrase's hash, whose low bits are its slot; ``since``: the step at which it was activated
+STEP_SCHEMA = "h long, since int, length int, n long"
+SCHEMA = "lang string, length int, phrase string, n long"
 #: Bytes of text that a task looks at together; larger pieces leave fewer rows to sum.
 PIECE = 4 << 20
 UNKNOWN = "und"
@@ -102,12 +104,6 @@ def combined(words: list[np.ndarray], seed: np.ndarray) -> np.ndarray:
     return B.mix(total)
 
 
-def phrase_hashes(words: np.ndarray, length: int, seed: np.ndarray) -> np.ndarray:
-    """Hash of the ``length`` words from each place on; the last places have none."""
-    last = max(len(words) - length + 1, 0)
-    return combined([words[k : last + k] for k in range(length)], seed[:last])
-
-
 def _byte_hashes(column: pa.Array) -> np.ndarray:
     """64-bit hash of each value of a column of byte strings."""
     _, offsets, buffer = column.buffers()
@@ -119,27 +115,10 @@ def _byte_hashes(column: pa.Array) -> np.ndarray:
     return B.mix((sums[ends[1:]] - sums[ends[:-1]]) * inverses[ends[:-1]])
 
 
-class Counter:
-    """Counts the active phrases of one step in Arrow batches of (lang, text)."""
-
-    def __init__(self, step: int, cycle: int, reached: np.ndarray):
-        self.step, self.cycle, self.reached = step, cycle, reached
+class Piece:
+    """Words of a stretch of text: their numbers, hashes, languages and whether phrases of them are whole."""
 
-    def _active(self, since: np.ndarray) -> np.ndarray:
-        return (since <= self.step) & (self.step < since + self.cycle)
-
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            langs = batch.column(0).dictionary_encode()
-            names = [UNKNOWN if v is None else v for v in langs.dictionary.to_pylist()]
-            own = np.asarray(langs.indices.fill_null(len(names)), dtype=np.int64)
-            data, ends = B.text_bytes(batch.column(1))
-            for stretch in _stretches(data, ends):
-                yield from self._stretch(*stretch, own, [*names, UNKNOWN])
-
-    def _stretch(self, data, starts, texts, own, names) -> Iterator[pa.RecordBatch]:
+    def __init__(self, data: np.ndarray, starts: np.ndarray, texts: np.ndarray, langs: np.ndarray, seeds: np.ndarray):
         lowered = B._LOWER[data]
         kind = np.zeros(len(data) + 2, dtype=bool)
         kind[1:-1] = _IN_WORD[lowered]
@@ -147,54 +126,95 @@ class Counter:
         joined[starts[starts < len(data)]] = False
         begin = np.flatnonzero(kind[1:-1] & ~joined[:-1])
         end = np.flatnonzero(kind[1:-1] & ~joined[1:]) + 1
-        if not len(begin):
-            return
         of_text = np.searchsorted(starts, begin, side="right") - 1
-        piece = np.concatenate([[0], np.cumsum(_PIECE_END[lowered])])[begin] + of_text
+        self.part = np.concatenate([[0], np.cumsum(_PIECE_END[lowered])])[begin] + of_text
         coded = _word_column(lowered, begin, end).dictionary_encode()
-        code = np.asarray(coded.indices, dtype=np.int64)
-        word = _byte_hashes(coded.dictionary)[code]
-        lang = own[texts[of_text]]
-        seed = np.array([lang_seed(n) for n in names], dtype=np.uint64)[lang]
+        self.words = coded.dictionary
+        self.code = np.asarray(coded.indices, dtype=np.int64)
+        self.hash = _byte_hashes(coded.dictionary)[self.code]
+        self.lang = langs[texts[of_text]]
+        self.seed = seeds[self.lang]
+
+    def hashes(self, length: int) -> np.ndarray:
+        """Hash of the ``length`` words from each place on; the last places have none."""
+        last = max(len(self.hash) - length + 1, 0)
+        return combined([self.hash[k : last + k] for k in range(length)], self.seed[:last])
 
+    def whole(self, length: int) -> np.ndarray:
+        """Whether the ``length`` words from each place on stand in one piece of one text."""
+        last = max(len(self.part) - length + 1, 0)
+        return self.part[:last] == self.part[length - 1 :]
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Piece, list[str]]]:
+    """The pieces of Arrow batches of (lang, text) with the names of their languages."""
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        langs = batch.column(0).dictionary_encode()
+        names = [*langs.dictionary.to_pylist(), UNKNOWN]
+        own = np.asarray(langs.indices.fill_null(len(names) - 1), dtype=np.int64)
+        seeds = np.array([lang_seed(n) for n in names], dtype=np.uint64)
+        data, ends = B.text_bytes(batch.column(1))
+        for stretch in _stretches(data, ends):
+            yield Piece(*stretch, own, seeds), names
+
+
+def count_step(batches: Iterator[pa.RecordBatch], step: int, cycle: int, reached: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(hash, since, length, n) of the phrases that are active at this step."""
+    for piece, _ in _read(batches):
         # the step since which each place's phrase is active, LATER where it is not or is cut by a piece's end
-        since = np.zeros(len(code), dtype=np.int64)
-        hashes = phrase_hashes(word, 1, seed)
+        since, hashes = np.zeros(len(piece.code), dtype=np.int64), piece.hashes(1)
         for length in range(1, MOST_WORDS + 1):
             if length > 1:
-                shorter = np.maximum(since, self.reached[_slot(hashes, len(self.reached))])
-                hashes = phrase_hashes(word, length, seed)
-                since = np.maximum(shorter[:-1], shorter[1:])
-                since[piece[: len(since)] != piece[length - 1 :]] = LATER
-            places = np.flatnonzero(self._active(since))
+                shorter = np.maximum(since, reached[_slot(hashes, len(reached))])
+                since, hashes = np.maximum(shorter[:-1], shorter[1:]), piece.hashes(length)
+                since[~piece.whole(length)] = LATER
+            places = np.flatnonzero((since <= step) & (step < since + cycle))
             if len(places):
-                yield self._counted(coded.dictionary, code, lang, since, hashes, places, length, names)
-            if not (since <= self.step).any():
-                return  # a longer phrase is never active before its parts
-
-    @staticmethod
-    def _counted(dictionary, code, lang, since, hashes, places, length, names) -> pa.RecordBatch:
-        key, bound = lang[places], len(names)
-        for k in range(length):
-            if bound * len(dictionary) >= 1 << 63:
-                key = np.unique(key, return_inverse=True)[1]
-                bound = len(key)
-            key = key * len(dictionary) + code[places + k]
-            bound *= len(dictionary)
-        order = np.argsort(key)
-        begins = np.flatnonzero(np.diff(key[order], prepend=-1))
-        first, counts = order[begins], np.diff(begins, append=len(order))
-        texts = dictionary.cast(pa.large_string())
-        columns = [texts.take(pa.array(code[places[first] + k])) for k in range(length)]
-        phrase = pc.binary_join_element_wise(*columns, pa.scalar(" ", pa.large_string())) if length > 1 else columns[0]
-        return pa.record_batch(
-            [
-                pa.array(names, pa.string()).take(pa.array(lang[places[first]])), pa.array(np.full(len(first), length, dtype=np.int32)),
-                phrase.cast(pa.string()), pa.array(since[places[first]].astype(np.int32)),
-                pa.array(hashes[places[first]].view(np.int64)), pa.array(counts.astype(np.int64)),
-            ],
-            names=["lang", "length", "phrase", "since", "h", "n"],
+                order = places[np.argsort(hashes[places])]
+                begins = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[0]]))
+                first = order[begins]
+                columns = [
+                    pa.array(hashes[first].view(np.int64)), pa.array(since[first].astype(np.int32)),
+                    pa.array(np.full(len(first), length, dtype=np.int32)), pa.array(np.diff(begins, append=len(order)).astype(np.int64)),
+                ]
+                yield pa.record_batch(columns, names=["h", "since", "length", "n"])
+            if not (since <= step).any():
+                break  # a longer phrase is never active before its parts
+
+
+def count_taken(batches: Iterator[pa.RecordBatch], reached: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(lang, length, phrase, n) of the phrases whose slots are taken, and each language's words as length 0."""
+    for piece, names in _read(batches):
+        totals = np.bincount(piece.lang, minlength=len(names))
+        yield pa.record_batch(
+            [pa.array(names, pa.string()), pa.array(np.zeros(len(names), dtype=np.int32)), pa.array([""] * len(names)), pa.array(totals)],
+            names=["lang", "length", "phrase", "n"],
         )
+        texts = piece.words.cast(pa.large_string())
+        for length in range(1, MOST_WORDS + 1):
+            hashes = piece.hashes(length)
+            places = np.flatnonzero(piece.whole(length) & (reached[_slot(hashes, len(reached))] != LATER))
+            if not len(places):
+                break
+            key, bound = piece.lang[places], len(names)
+            for k in range(length):
+                if bound * len(texts) >= 1 << 63:  # made dense, so that keys never pass 64 bits
+                    key = np.unique(key, return_inverse=True)[1]
+                    bound = len(key)
+                key = key * len(texts) + piece.code[places + k]
+                bound *= len(texts)
+            order = np.argsort(key)
+            begins = np.flatnonzero(np.diff(key[order], prepend=-1))
+            first, counts = places[order[begins]], np.diff(begins, append=len(order))
+            words = [texts.take(pa.array(piece.code[first + k])) for k in range(length)]
+            phrase = pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())) if length > 1 else words[0]
+            columns = [
+                pa.array(names, pa.string()).take(pa.array(piece.lang[first])), pa.array(np.full(len(first), length, dtype=np.int32)),
+                phrase.cast(pa.string()), pa.array(counts.astype(np.int64)),
+            ]
+            yield pa.record_batch(columns, names=["lang", "length", "phrase", "n"])
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,60 +229,62 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _mark(reached: np.ndarray, frequent: DataFrame, step: int) -> bool:
-    """Enter ``step`` in the still empty slots of these phrases; whether there were any."""
+    """Enter ``step`` in the still empty slots of these phrases; whether longer phrases may follow from them."""
     slot = F.col("h").bitwiseAND(F.lit(len(reached) - 1)).cast("int")
-    slots = frequent.select(slot.alias("slot"), (slot / CHUNK).cast("int").alias("chunk"))
+    longest = (F.col("length") == MOST_WORDS).cast("int")
+    slots = frequent.select(slot.alias("slot"), ((slot / CHUNK).cast("int") * 2 + longest).alias("chunk"))
     maps = slots.repartition(16, "chunk").mapInArrow(_bitmaps, "chunk int, bits binary")
     found = False
-    for row in maps.collect():  # at most SLOTS / CHUNK rows of CHUNK bits
+    for row in maps.collect():  # at most 2 * SLOTS / CHUNK rows of CHUNK bits
+        at, last = divmod(row["chunk"], 2)
         bits = np.unpackbits(np.frombuffer(row["bits"], dtype=np.uint8)).astype(bool)
-        own = reached[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK]
+        own = reached[at * CHUNK : (at + 1) * CHUNK]
         fresh = bits & (own == LATER)
         own[fresh] = step
-        found |= bool(fresh.any())
+        found |= not last and bool(fresh.any())
     return found
 
 
 def phrase_counts(
     docs: DataFrame, threshold: int, shards: int = 4, text: str = "text", lang: str = "lang", slots: int = SLOTS
 ) -> DataFrame:
-    """(lang, length, phrase, n) of all words, and of all phrases of 2 to 4 words that occur ``threshold`` times.
+    """(lang, length, phrase, n) of all phrases of 1 to 4 words that occur ``threshold`` times.
 
-    ``slots`` is a power of two of at least CHUNK; four cycles of ``shards`` steps must stay below 255.
+    A row of length 0 has the number of all words of its language. ``slots`` is a power of two of at least
+    CHUNK; four cycles of ``shards`` steps must stay below 255.
     """
     spark = docs.sparkSession
-    staged, counted = fresh_path(spark, "phrase-shards"), fresh_path(spark, "phrase-counts")
+    staged = fresh_path(spark, "phrase-shards")
     shard = F.pmod(F.xxhash64(text), F.lit(shards)).cast("int")
     docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), shard.alias("shard")).write.partitionBy("shard").parquet(staged)
     rows = spark.read.schema("lang string, text string, shard int").parquet(staged)
-    reached = np.full(slots, LATER, dtype=np.uint8)
+    context, reached = spark.sparkContext, np.full(slots, LATER, dtype=np.uint8)
     open_counts = None
     step, last = 0, shards - 1
     while step <= last:
-        told = spark.sparkContext.broadcast(reached)
-        run = (lambda table, now: lambda batches: Counter(now, shards, table.value)(batches))(told, step)
-        found = rows.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(run, SCHEMA)
-        own = found.groupBy("lang", "length", "phrase").agg(F.min("since").alias("since"), F.min("h").alias("h"), F.sum("n").alias("n"))
-        own.write.parquet(f"{counted}/step={step}")
-        told.destroy()
-        # phrases of one hash are taken together here, which activates longer phrases early at worst
-        fresh = spark.read.schema(SCHEMA).parquet(f"{counted}/step={step}").where(F.col("length") < MOST_WORDS).select("since", "h", "n")
+        told = context.broadcast(reached)
+        run = (lambda table, now: lambda batches: count_step(batches, now, shards, table.value))(told, step)
+        found = rows.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(run, STEP_SCHEMA)
         if open_counts is not None:
-            both = fresh.unionByName(open_counts).groupBy("h").agg(F.max("since").alias("since"), F.sum("n").alias("n"))
-            fresh = materialize(both, "phrases-open")
-        if _mark(reached, fresh.where(F.col("n") >= threshold), step + 1):
+            found = found.unionByName(open_counts)
+        # phrases of one hash are taken together, so what is known of each is what keeps it open longest
+        latest = [F.max(c).alias(c) for c in ("since", "length")]
+        counts = materialize(found.groupBy("h").agg(*latest, F.sum("n").alias("n")), "phrases-open")
+        told.destroy()
+        if _mark(reached, counts.where(F.col("n") >= threshold), step + 1):
             last = step + shards
         # what is yet to reach the threshold and still in its cycle
-        open_counts = fresh.where((F.col("n") < threshold) & (F.col("since") + shards > step + 1))
+        open_counts = counts.where((F.col("n") < threshold) & (F.col("since") + shards > step + 1))
         step += 1
-    counts = spark.read.schema(SCHEMA).parquet(*[f"{counted}/step={k}" for k in range(step)])
-    total = counts.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n"))
-    return materialize(total.where((F.col("length") == 1) | (F.col("n") >= threshold)), "phrases")
+    told = context.broadcast(reached)
+    taken = rows.select("lang", "text").mapInArrow(lambda batches: count_taken(batches, told.value), SCHEMA)
+    total = taken.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n"))
+    return materialize(total.where((F.col("length") == 0) | (F.col("n") >= threshold)), "phrases")
 
 
 def scored(counts: DataFrame, threshold: int) -> DataFrame:
     """(lang, phrase, length, a, l, r, score) of every phrase of two words or more, by its lowest-scoring cut."""
-    parts = counts.where((F.col("n") >= threshold) & (F.col("length") < MOST_WORDS)).select("lang", "phrase", "n")
+    parts = counts.where((F.col("n") >= threshold) & F.col("length").between(1, MOST_WORDS - 1)).select("lang", "phrase", "n")
     words = F.split("phrase", " ")
     cuts = (
         counts.where((F.col("length") > 1) & (F.col("n") >= threshold))
@@ -303,7 +325,7 @@ def collocations(
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases by score, count and spelling."""
     counts = phrase_counts(docs, threshold, shards, text, lang)
-    totals = counts.where(F.col("length") == 1).groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = counts.where(F.col("length") == 0).select("lang", "n")
     kept = maximal(scored(counts, threshold), percent)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # the first of each of many parts hold the first of all, so no language is sorted in one task

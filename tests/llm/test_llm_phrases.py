@@ -71,19 +71,35 @@ def test_brute_force(spark, shards, top, percent):
 
 def test_full_slot_table_changes_no_count(spark):
     rows = made_up(9, 100)
-    of_lang = {lang or "und" for lang, _ in rows}
-    step, cycle = 2, 3
+    expected = {(lang, p): n for lang, f in brute_counts(rows).items() for p, n in f.items()}
     # every slot taken: all phrases are active, whatever was reached
     batch = pa.record_batch([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["lang", "text"])
+    found = [r for out in P.count_step([batch], 2, 3, np.full(16, 1, dtype=np.uint8)) for r in out.to_pylist()]
+    assert sorted(r["n"] for r in found) == sorted(expected.values())
+    assert {(r["length"], r["since"]) for r in found} == {(1, 0), (2, 1), (3, 1), (4, 1)}
     counts = Counter()
-    for out in P.Counter(step, cycle, np.full(16, 1, dtype=np.uint8))([batch]):
+    for out in P.count_taken([batch], np.full(16, 1, dtype=np.uint8)):
         for r in out.to_pylist():
-            counts[r["lang"], tuple(r["phrase"].split(" "))] += r["n"]
-    expected = {(lang, p): n for lang, f in brute_counts(rows).items() for p, n in f.items()}
-    assert dict(counts) == expected and {lang for lang, _ in counts} <= of_lang
+            counts[r["lang"], tuple(r["phrase"].split(" "))] += r["n"] if r["length"] else 0
+    assert +counts == expected
     docs = spark.createDataFrame(rows, "lang string, text string")
-    few = P.phrase_counts(docs, 5, shards=3, slots=P.CHUNK)
-    assert {(r.lang, tuple(r.phrase.split(" "))): r.n for r in few.collect()} == {k: n for k, n in expected.items() if len(k[1]) == 1 or n >= 5}
+    few = P.phrase_counts(docs, 5, shards=3, slots=P.CHUNK).where("length > 0")
+    assert {(r.lang, tuple(r.phrase.split(" "))): r.n for r in few.collect()} == {k: n for k, n in expected.items() if n >= 5}
+
+
+def test_a_step_counts_what_is_in_its_cycle(spark):
+    batch = pa.record_batch([pa.array(["en"]), pa.array(["a b c d"])], names=["lang", "text"])
+    reached = np.full(P.SLOTS, P.LATER, dtype=np.uint8)
+    seed = np.array([P.lang_seed("en")])
+    for word, step in (("a", 1), ("b", 3), ("c", 2)):
+        h = P.combined([P._byte_hashes(pa.array([word.encode()], pa.large_binary()))], seed)
+        reached[P._slot(h, P.SLOTS)] = step
+    lengths = lambda step: [(r["length"], r["since"]) for out in P.count_step([batch], step, 4, reached) for r in out.to_pylist()]
+    assert lengths(0) == [(1, 0)] * 4
+    assert lengths(2) == [(1, 0)] * 4
+    assert lengths(3) == [(1, 0)] * 4 + [(2, 3)] * 2
+    assert lengths(6) == [(2, 3)] * 2
+    assert lengths(7) == []
 
 
 def test_counts_of_long_texts_in_parts(spark):
