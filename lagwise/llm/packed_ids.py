@@ -43,7 +43,12 @@ def width(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """Eight ids at a time into ``bits`` bytes; the last group is filled with zeros."""
+    """Eight ids at a time into ``bits`` bytes; the last group is filled with zeros.
+
+    An id that needs more bits is an error, since it would be read back as another.
+    """
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit into {bits} bits")
     lanes = np.zeros((-(-len(ids) // 8), 8), dtype=np.uint64)
     lanes.ravel()[: len(ids)] = ids
     out = np.zeros((len(lanes), bits), dtype=np.uint8)
@@ -104,7 +109,7 @@ class ByteLevelEncoder:
     of the one before it are forgotten.
     """
 
-    def __init__(self, path: str, memory: int = 250_000):
+    def __init__(self, path: str, memory: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -158,6 +163,13 @@ class ByteLevelEncoder:
 _encoders: dict[str, ByteLevelEncoder] = {}
 
 
+def vocabulary_size(path: str) -> int:
+    """Number of ids of a tokenizer file, added tokens included."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+
+
 def encoder(path: str) -> ByteLevelEncoder:
     """One encoder per worker process."""
     if path not in _encoders:
@@ -197,10 +209,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, bits: int, end_id: int
 
 
 def write_packed(
-    documents: DataFrame, folder: str, tokenizer: str, vocabulary: int, end_id: int = 0,
+    documents: DataFrame, folder: str, tokenizer: str, vocabulary: int | None = None, end_id: int = 0,
     text: str = "text", doc_id: str = "doc_id", part_bytes: int = 32 << 20,
 ) -> None:
-    """Encode all texts and write them in order; ``folder`` must not exist."""
+    """Encode all texts and write them in order; ``folder`` must not exist.
+
+    ``vocabulary`` is the number of ids, by default that of the tokenizer's file.
+    """
+    vocabulary = max(vocabulary or vocabulary_size(tokenizer), end_id + 1)
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), content.alias("text"), F.xxhash64(content).alias("tie"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

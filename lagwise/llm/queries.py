@@ -171,7 +171,7 @@ def op4_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of all documents, packed to files in the shared folder and read back."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     target = fresh_path(spark, "packed-ids")
-    packed_ids.write_packed(table(spark, folder, "documents"), target, path, vocabulary=50_257)
+    packed_ids.write_packed(table(spark, folder, "documents"), target, path)
     return packed_ids.read_documents(spark, target, with_ids=False)
 
 

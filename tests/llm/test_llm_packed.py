@@ -43,6 +43,13 @@ def test_pack_and_unpack_any_run(bits):
     assert K.width(50_257) == 16 and K.width(65_537) == 17 and K.width(1) == 1
 
 
+def test_ids_that_do_not_fit_are_refused():
+    with pytest.raises(ValueError, match="70000 does not fit into 16 bits"):
+        K.pack(np.array([1, 70_000]), 16)
+    assert K.pack(np.array([65_535]), 16)[:2] == b"\xff\xff" and K.pack(np.zeros(0, dtype=int), 16) == b""
+    assert K.vocabulary_size(PATH) == Tokenizer.from_file(PATH).get_vocab_size()
+
+
 def test_round_trip_and_random_access(spark, library, monkeypatch):
     monkeypatch.setattr(K, "BLOCK_IDS", 200)
     target = fresh_path(spark, "packed")
