@@ -1,10 +1,11 @@
 """Features of a row's entity as it stood just before that row.
 
-One entity may own a large share of all rows, so no window is ever partitioned by the entity
-over raw rows. Rows are first summed per (entity, day) with map-side combine; the running
-window over an entity then sees one row per calendar day. Rows of the same day are ordered by
-id inside their (entity, day) group, and both parts are joined on (entity, day), which also
-spreads a hot entity over its days.
+One entity, or one entity on one day, may own any share of the rows, so rows are scanned in segments. They
+are range-sliced on (entity, day, id) and every slice looks back over its own rows. An entity that crosses
+the border between slices leaves a carry there: the sum, maximum, minimum and last value of its rows in the
+slices before. There are at most two such entities per slice, its first and its last, so the carries are a
+table of that size, which is broadcast. Nothing is ever gathered by entity. Rows without an entity have no
+past and take a separate branch.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lagwise.session import materialize
+
 FIRST_ROW_DAYS = 9999
 
 
@@ -28,24 +31,37 @@ class Prior:
     value: str
 
 
-def _daily(prior: Prior, row_id: str) -> Column:
-    if prior.kind == "last":
-        return F.max_by(prior.value, row_id)
-    return {"sum": F.sum, "max": F.max, "min": F.min}[prior.kind](prior.value)
-
+_AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}
 
-def _running(prior: Prior, column: str, ordered, before) -> Column:
-    if prior.kind == "last":
-        return F.lag(column).over(ordered)
-    return {"sum": F.sum, "max": F.max, "min": F.min}[prior.kind](column).over(before)
 
+def _carries(sliced: DataFrame, key: str, day: str, row_id: str, priors: Sequence[Prior]) -> DataFrame:
+    """(_slice, _key, _c_last_day, one carry per prior): what slices before hold of each slice's first key.
 
-def _combined(prior: Prior, days: Column, today: Column, seen_today: Column) -> Column:
-    if prior.kind == "sum":
-        return F.coalesce(days, F.lit(0)) + F.coalesce(today, F.lit(0))
-    if prior.kind == "last":
-        return F.when(seen_today > 0, today).otherwise(days)
-    return (F.greatest if prior.kind == "max" else F.least)(days, today)
+    One row per slice; values of kind last are wrapped, so that a NULL is told from no row.
+    """
+    ends = sliced.groupBy("_slice").agg(F.min(key).alias("_first"), F.max(key).alias("_end"))
+    order = F.struct(day, row_id)
+    totals = [
+        F.max_by(F.struct(p.value), order).alias(f"_c_{p.name}") if p.kind == "last"
+        else _AGGREGATES[p.kind](p.value).alias(f"_c_{p.name}")
+        for p in priors
+    ]
+    last = (
+        sliced.join(F.broadcast(ends.select("_slice", "_end")), "_slice").filter(F.col(key) == F.col("_end"))
+        .groupBy("_slice", F.col("_end").alias("_key")).agg(F.max(day).alias("_c_last_day"), *totals)
+    )
+    wanted = ends.select("_slice", F.col("_first").alias("_key"), F.lit(True).alias("_wanted"))
+    both = last.unionByName(wanted, allowMissingColumns=True)
+    before = W.partitionBy("_key").orderBy("_slice").rangeBetween(W.unboundedPreceding, -1)
+    names = ["_c_last_day", *[f"_c_{p.name}" for p in priors]]
+    kinds = ["max", *[p.kind for p in priors]]
+    return both.select(
+        "_slice", "_key", "_wanted",
+        *[
+            (F.last(n, ignorenulls=True) if kind == "last" else _AGGREGATES[kind](n)).over(before).alias(n)
+            for n, kind in zip(names, kinds)
+        ],
+    ).filter("_wanted").drop("_wanted")
 
 
 def look_back(
@@ -55,60 +71,49 @@ def look_back(
     row_id: str,
     priors: Sequence[Prior],
     keep: Sequence[str] = (),
+    slices: int | None = None,
 ) -> DataFrame:
     """(row_id, key, day, kept columns, last_day, each prior) over the rows before each row.
 
-    Order is (day, row_id); ``day`` and ``row_id`` must not be NULL. A row whose key is NULL
+    Order is (day, row_id), which must be unique and not NULL. A row whose key is NULL
     has no past: sums are 0, the rest NULL. ``last_day`` is the day of the previous row.
+    ``slices`` is the number of segments, by default that of shuffle partitions.
     """
-    names = [row_id, key, day, *keep, *(p.value for p in priors)]
-    rows = df.select(*dict.fromkeys(names))
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(*dict.fromkeys([row_id, key, day, *keep, *(p.value for p in priors)]))
     known = rows.filter(F.col(key).isNotNull())
-
-    across = W.partitionBy(key).orderBy(day)
-    before_days = across.rowsBetween(W.unboundedPreceding, -1)
-    daily = known.groupBy(key, day).agg(*[_daily(p, row_id).alias(p.name) for p in priors])
-    days = daily.select(
-        key,
-        day,
-        F.lag(day).over(across).alias("_last_day"),
-        *[_running(p, p.name, across, before_days).alias(f"_days_{p.name}") for p in priors],
-    )
-
-    within = W.partitionBy(key, day).orderBy(row_id)
-    before_rows = within.rowsBetween(W.unboundedPreceding, -1)
-    today = known.select(
-        row_id,
-        key,
-        day,
-        *keep,
-        F.count(F.lit(1)).over(before_rows).alias("_seen_today"),
-        *[_running(p, p.value, within, before_rows).alias(f"_today_{p.name}") for p in priors],
-    )
-
-    seen = F.col("_seen_today")
-    past = today.join(days, [key, day]).select(
-        row_id,
-        key,
-        day,
-        *keep,
-        F.when(seen > 0, F.col(day)).otherwise(F.col("_last_day")).alias("last_day"),
-        *[
-            _combined(p, F.col(f"_days_{p.name}"), F.col(f"_today_{p.name}"), seen).alias(p.name)
-            for p in priors
-        ],
+    # stored, so that the border of a slice is the same for its carry and its rows
+    sliced = materialize(
+        known.repartitionByRange(slices, key, day, row_id).withColumn("_slice", F.spark_partition_id()), "segments"
     )
+    carries = F.broadcast(_carries(sliced, key, day, row_id, priors).withColumnRenamed("_slice", "_to"))
+    carried = sliced.join(carries, (F.col("_slice") == F.col("_to")) & (F.col(key) == F.col("_key")), "left")
+
+    within = W.partitionBy("_slice", key).orderBy(day, row_id)
+    before = within.rowsBetween(W.unboundedPreceding, -1)
+
+    def prior(p: Prior) -> Column:
+        carry = F.col(f"_c_{p.name}")
+        if p.kind == "last":
+            return F.coalesce(F.lag(F.struct(p.value)).over(within), carry)[p.value]
+        here = _AGGREGATES[p.kind](p.value).over(before)
+        if p.kind == "sum":
+            return F.coalesce(here, F.lit(0)) + F.coalesce(carry, F.lit(0))
+        return (F.greatest if p.kind == "max" else F.least)(here, carry)
+
+    past = carried.select(
+        row_id, key, day, *keep,
+        F.coalesce(F.lag(day).over(within), "_c_last_day").alias("last_day"),
+        *[prior(p).alias(p.name) for p in priors],
+    )
     no_past = rows.filter(F.col(key).isNull()).select(
-        row_id,
-        key,
-        day,
-        *keep,
+        row_id, key, day, *keep,
         F.lit(None).cast(rows.schema[day].dataType).alias("last_day"),
         *[
             F.lit(0 if p.kind == "sum" else None).cast(past.schema[p.name].dataType).alias(p.name)
             for p in priors
         ],
-    )
+    )
     return past.unionByName(no_past)
 
 

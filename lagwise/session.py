@@ -36,10 +36,18 @@ def build_session(
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    A session that names none uses its warehouse folder, which all executors share as well.
+    A session that names none uses its warehouse folder if that is in a store other than the local file
+    system, or if the master is local. On a cluster the default warehouse is a folder of the driver's
+    machine, which executors do not share, so such a session is refused.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return (configured or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    if configured:
+        return configured.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+    scheme = warehouse.split(":", 1)[0] if warehouse and ":" in warehouse else "file"
+    if not warehouse or (scheme == "file" and not spark.sparkContext.master.startswith("local")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+    return warehouse.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -110,20 +110,32 @@ def test_a_later_label_never_reaches_an_earlier_row(spark):
     assert early and all(one[i] == two[i] for i in early)
 
 
-def test_no_window_over_an_entity_reads_raw_rows(spark):
-    """Windows by entity alone must sit above the per-day aggregation."""
+def test_no_window_or_shuffle_gathers_an_entity(spark):
+    """Windows over rows run per (slice, entity); only the carries, two rows a slice, meet by entity."""
     df = spark.range(10).selectExpr(
         "id", "cast(id % 2 as string) k", "date_add(date'2020-01-01', int(id)) day", "1 y"
     )
     plan = entity_history(df, "k", "day", "id", ["y"])._jdf.queryExecution().executedPlan().toString()
-    lines = plan.splitlines()
-    across = [
-        n for n, line in enumerate(lines)
-        if "Window [" in line and "windowspecdefinition(k#" in line and ", id#" not in line
-    ]
-    assert across
-    for position in across:
-        assert any("HashAggregate" in below for below in lines[position + 1 : position + 5])
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    over_rows = [w for w in windows if "windowspecdefinition(_slice#" in w]
+    over_carries = [w for w in windows if "windowspecdefinition(_key#" in w]
+    assert over_rows and over_carries and len(windows) == len(over_rows) + len(over_carries)
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert not any("hashpartitioning(k#" in line for line in exchanges)
+
+
+@pytest.mark.parametrize("slices", [1, 2, 9, 40])
+def test_hot_entity_day_is_cut_into_slices(spark, slices):
+    """Nine rows of ten are one entity on one day; the slices of its rows are carried over."""
+    rng = random.Random(slices)
+    rows = []
+    for i in rng.sample(range(1000), 300):
+        hot = rng.random() < 0.9
+        price = None if rng.random() < 0.3 else float(rng.randrange(100))
+        rows.append((i, "hot" if hot else rng.choice(["a", "z", None]), d(1, 9) if hot else d(1, rng.choice([1, 9, 20])), 1, price))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = by_id(look_back(df, "k", "day", "id", PRIORS, slices=slices), "s", "hi", "lo", "prev", "last_day")
+    assert found == _brute(rows)
 
 
 def test_all_entities_at_once_equal_one_by_one(spark):

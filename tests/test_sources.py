@@ -78,16 +78,27 @@ def test_shared_folder_comes_from_the_session(spark):
     assert stored.count() == 3
 
 
-def test_cluster_without_shared_folder_is_refused():
+@pytest.mark.parametrize(
+    "master,warehouse,expected",
+    [
+        ("yarn", None, None),
+        ("yarn", "file:/driver/spark-warehouse", None),
+        ("spark://host:1", "/driver/spark-warehouse", None),
+        ("yarn", "hdfs://store/warehouse/", "hdfs://store/warehouse"),
+        ("local[8]", "file:/driver/spark-warehouse", "file:/driver/spark-warehouse"),
+        ("local[8]", None, None),
+    ],
+)
+def test_cluster_without_shared_folder_is_refused(master, warehouse, expected):
     class Conf:
         def get(self, name, default=None):
-            return default
-
-    class Context:
-        master, applicationId = "yarn", "x"
+            return warehouse if name == "spark.sql.warehouse.dir" else default
 
     class Fake:
-        conf, sparkContext = Conf(), Context()
+        conf, sparkContext = Conf(), type("Context", (), {"master": master, "applicationId": "x"})()
 
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        session.shared_folder(Fake())
+    if expected:
+        assert session.shared_folder(Fake()) == expected
+    else:
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.shared_folder(Fake())
