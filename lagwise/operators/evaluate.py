@@ -73,6 +73,27 @@ def auc(df: DataFrame, score: str, y: str, slices: int | None = None) -> DataFra
     )
 
 
+def auc_by(df: DataFrame, groups: Sequence[str], score: str, y: str, slices: int | None = None) -> DataFrame:
+    """One row (groups, positives, negatives, auc) per group; tied scores count half.
+
+    All groups share one running total in the order (groups, score): the negatives before a group's
+    first row are the least of its totals, and are taken off again. A group may hold any share of the rows.
+    """
+    known = df.filter(F.col(score).isNotNull() & F.col(y).isNotNull())
+    per_score = known.groupBy(*groups, score).agg(
+        F.count(F.when(F.col(y) == 1, 1)).alias("_pos"),
+        F.count(F.when(F.col(y) != 1, 1)).alias("_neg"),
+    )
+    ranked = running_totals(per_score, [*groups, score], {"_neg_so_far": "_neg"}, slices)
+    before = F.min(F.col("_neg_so_far") - F.col("_neg"))
+    wins = F.sum(F.col("_pos") * (F.col("_neg_so_far") - F.col("_neg") * 0.5)) - before * F.sum("_pos")
+    return ranked.groupBy(*groups).agg(
+        F.sum("_pos").alias("positives"),
+        F.sum("_neg").alias("negatives"),
+        F.try_divide(wins, F.sum("_pos") * F.sum("_neg")).alias("auc"),
+    )
+
+
 def _gini_for(df: DataFrame, order: str, actual: Column, weight: Column, slices) -> DataFrame:
     """Gini of one ordering; equal order values share their place evenly.
 

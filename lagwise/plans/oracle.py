@@ -708,6 +708,17 @@ def _build() -> dict[str, str]:
           count(*) FILTER (WHERE y = 0) AS neg FROM scored GROUP BY 1)""",
     )
 
+    sql["fold_auc"] = with_tables(
+        """SELECT fold, part, CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives,
+          round(sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0), 9) AS auc
+        FROM (SELECT a.*, coalesce((SELECT sum(b.neg) FROM g b
+            WHERE b.fold = a.fold AND b.part = a.part AND b.s < a.s), 0) AS below FROM g a)
+        GROUP BY fold, part""", "scored",
+        extra="""g AS (SELECT CAST(n AS INTEGER) AS fold, CASE WHEN projectid % 10 = n THEN 'test' ELSE 'train' END AS part,
+          floor(price / 100) AS s, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg
+          FROM scored, range(10) t(n) GROUP BY ALL)""",
+    )
+
     def one_gini(order: str) -> str:
         both = " + ".join(
             f"(SELECT sum(cy * w) FROM (SELECT w, sum(w * y) OVER (ORDER BY {order}, projectid "

@@ -765,6 +765,13 @@ def auc(spark, folder):
     return evaluate.auc(scored, "score", "y").withColumn("auc", rounded("auc", 9))
 
 
+@query
+def fold_auc(spark, folder):
+    scored = _scored(spark, folder).withColumn("score", F.floor(F.col("price") / 100))
+    found = text_scores.fold_auc(scored, "score", "y", (F.col("projectid") % 10).cast("int"), 10)
+    return found.withColumn("auc", rounded("auc", 9))
+
+
 @query
 def gini(spark, folder):
     scored = evaluate.gini(_scored(spark, folder), "reach", "y", _weight())

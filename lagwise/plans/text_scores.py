@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from lagwise.functions.scalars import descending_fold, even_fold, uniform_from_id
 from lagwise.functions.text import letter_tokens, ngrams, rich_tokens
-from lagwise.operators.evaluate import auc
+from lagwise.operators.evaluate import auc_by
 from lagwise.operators.lookup import lookup_join
 from lagwise.operators.tfidf import (
     document_frequency,
@@ -226,10 +226,10 @@ def refitted_columns(
 
 
 def fold_auc(scored: DataFrame, score: str, y: str, fold: Column, folds: int) -> DataFrame:
-    """(fold, positives, negatives, auc) of out-of-fold scores, one row per fold."""
-    marked = materialize(scored.select(fold.alias("_fold"), score, y), "fold-scores")
-    result = None
-    for number in range(folds):
-        row = auc(marked.filter(F.col("_fold") == number), score, y).select(F.lit(number).alias("fold"), "*")
-        result = row if result is None else result.unionByName(row)
-    return result
+    """(fold, part, positives, negatives, auc): AUC on each fold (``test``) and on all rows outside it (``train``)."""
+    parts = F.transform(
+        F.sequence(F.lit(0), F.lit(folds - 1)),
+        lambda n: F.struct(n.alias("fold"), F.when(F.col("_fold") == n, "test").otherwise("train").alias("part")),
+    )
+    marked = scored.select(fold.alias("_fold"), score, y).select(score, y, F.inline(parts))
+    return auc_by(marked, ["fold", "part"], score, y)

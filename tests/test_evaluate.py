@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lagwise.operators.evaluate import auc, gini, lift_table, running_totals
+from lagwise.operators.evaluate import auc, auc_by, gini, lift_table, running_totals
 
 SCHEMA = "id BIGINT, s DOUBLE, y INT, w DOUBLE"
 
@@ -64,3 +64,18 @@ def test_lift_bins_hold_equal_weight_and_every_row(spark, df, data):
     assert sum(r.w for r in table) == sum(w for *_, w in data)
     assert sum(r.a_cnt for r in table) == sum(w * y for _, _, y, w in data)
     assert max(r.w for r in table) < 1.7 * sum(w for *_, w in data) / 10
+
+
+@pytest.mark.parametrize("slices", [1, 5])
+def test_auc_of_every_group_equals_auc_of_its_rows(spark, slices):
+    rows = [(i, i % 3 if i % 4 else 0, (i * 37) % 11 / 10 if i % 13 else None, None if i % 17 == 0 else i * 7 % 5 % 2) for i in range(300)]
+    rows += [(900, 7, 0.5, 1), (901, 7, 0.2, 1)]
+    df = spark.createDataFrame(rows, "id INT, g INT, s DOUBLE, y INT")
+    found = {r.g: (r.positives, r.negatives, r.auc) for r in auc_by(df, ["g"], "s", "y", slices).collect()}
+    for g, triple in found.items():
+        own = [(s, y) for _, k, s, y in rows if k == g and s is not None and y is not None]
+        ups, downs = [s for s, y in own if y == 1], [s for s, y in own if y != 1]
+        wins = sum((a > b) + (a == b) / 2 for a in ups for b in downs)
+        assert triple[:2] == (len(ups), len(downs))
+        assert triple[2] == (pytest.approx(wins / (len(ups) * len(downs))) if downs else None)
+    assert sorted(found) == [0, 1, 2, 7]
