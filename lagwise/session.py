@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether Spark removes the shuffle files of a statement when it has ended.
+_REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(
     app_name: str = "lagwise",
@@ -72,8 +75,32 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def replace_stored(df: DataFrame, label: str, old: str | None = None) -> tuple[DataFrame, str]:
+    """As ``materialize``, for steps of which each takes the place of the one before.
+
+    Gives the table and its path. What the write shuffled is removed at its end, and so is ``old``, the path of
+    the step it replaces, so disk holds one step at a time however many there are. A lost executor is
+    made good while the write runs; afterwards nothing but the new table is read.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    before = spark.conf.get(_REMOVE_SHUFFLES, None)
+    spark.conf.set(_REMOVE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_REMOVE_SHUFFLES) if before is None else spark.conf.set(_REMOVE_SHUFFLES, before)
+    if old:
+        remove(spark, old)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a stored step that is read no more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def remove_stored(spark: SparkSession) -> None:
     """Remove every step this application has stored; call it once its results are written."""
-    application = spark.sparkContext.applicationId
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/lagwise/{application}")
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    remove(spark, f"{shared_folder(spark)}/lagwise/{spark.sparkContext.applicationId}")

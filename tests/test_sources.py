@@ -102,3 +102,15 @@ def test_cluster_without_shared_folder_is_refused(master, warehouse, expected):
     else:
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
             session.shared_folder(Fake())
+
+
+def test_a_replaced_step_leaves_no_files(spark):
+    import os
+
+    rows = spark.range(5000).selectExpr("id % 7 AS k", "id").groupBy("k").sum("id")
+    first, old = session.replace_stored(rows, "step")
+    second, new = session.replace_stored(first.where("k > 2"), "step", old)
+    assert second.count() == 4 and not os.path.exists(old) and os.path.exists(new)
+    assert spark.conf.get(session._REMOVE_SHUFFLES, None) in (None, "false")
+    session.remove(spark, new)
+    assert not os.path.exists(new)
