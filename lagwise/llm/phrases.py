@@ -14,7 +14,8 @@ a phrase's hash holds the earliest step at which a phrase of that slot reached t
 steps phrases are known by 64-bit hashes alone, which keeps what is shuffled narrow. A phrase that shares
 its hash or slot with others may be activated before its time or taken for frequent, never the reverse. One last
 scan therefore counts, by the words themselves, the phrases whose slots are taken, so collisions change no
-result. A table that fills up prunes less and costs time only.
+result. A table that fills up prunes less and costs time only. Each step's table takes the place of the one
+before, and what a step shuffled is removed at its end.
 
 Tasks count with numpy what Spark deals out and Spark sums it: a task turns a bounded piece of text into
 word numbers and hashes, and writes the counts of the active phrases of that piece.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from lagwise.llm import words as B
 from lagwise.operators.lookup import BROADCAST_KEYS, lookup_join
-from lagwise.session import fresh_path, materialize
+from lagwise.session import fresh_path, remove, replace_stored
 
 SLOTS = 1 << 23
 LATER = 255
@@ -259,7 +260,7 @@ def phrase_counts(
     docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), shard.alias("shard")).write.partitionBy("shard").parquet(staged)
     rows = spark.read.schema("lang string, text string, shard int").parquet(staged)
     context, reached = spark.sparkContext, np.full(slots, LATER, dtype=np.uint8)
-    open_counts = None
+    open_counts, stored = None, None
     step, last = 0, shards - 1
     while step <= last:
         told = context.broadcast(reached)
@@ -269,7 +270,7 @@ def phrase_counts(
             found = found.unionByName(open_counts)
         # phrases of one hash are taken together, so what is known of each is what keeps it open longest
         latest = [F.max(c).alias(c) for c in ("since", "length")]
-        counts = materialize(found.groupBy("h").agg(*latest, F.sum("n").alias("n")), "phrases-open")
+        counts, stored = replace_stored(found.groupBy("h").agg(*latest, F.sum("n").alias("n")), "phrases-open", stored)
         told.destroy()
         if _mark(reached, counts.where(F.col("n") >= threshold), step + 1):
             last = step + shards
@@ -279,7 +280,10 @@ def phrase_counts(
     told = context.broadcast(reached)
     taken = rows.select("lang", "text").mapInArrow(lambda batches: count_taken(batches, told.value), SCHEMA)
     total = taken.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n"))
-    return materialize(total.where((F.col("length") == 0) | (F.col("n") >= threshold)), "phrases")
+    found, _ = replace_stored(total.where((F.col("length") == 0) | (F.col("n") >= threshold)), "phrases", stored)
+    told.destroy()
+    remove(spark, staged)
+    return found
 
 
 def scored(counts: DataFrame, threshold: int) -> DataFrame:
