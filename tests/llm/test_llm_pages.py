@@ -97,3 +97,43 @@ def test_ordinary_words_in_names_lose_nothing():
     )
     assert P.main_text(page, set()).split("\n") == ["Search", "Related", "Price", "x # why", "Login"]
     assert P.main_text("<body><div id=site-menu>m</div><a class=share>s</a><ul><li><div class=social-links>l</div></ul><p>kept</p></body>", set()) == "kept"
+
+
+def test_made_up_names_leave_out_only_what_they_name():
+    page = (
+        "<article><div class=menu-planning>a</div><section class=related-work>b</section><div class=share-price>c</div>"
+        "<ul class=search-tips><li>d</li></ul><label>e</label><div class=comment-list>x</div><div class='ad-slot ad-2'>x</div>"
+        "<ul class=share-links><li>x</ul><form><label>x</label></form></article>"
+    )
+    assert P.main_text(page, set()).split("\n") == ["a", "b", "c", "d", "e"]
+
+
+def test_headings_of_the_template_stay_over_filled_slots(spark):
+    from llm_data import prose
+
+    page = "<body><article><h1>{}</h1><h2>Ingredients</h2><p>{}</p><h2>Method</h2><p>{}</p><h2>Tell us</h2></article><div>Imprint of all</div></body>"
+    texts = [(f"Dish {k}", prose(80 + k, 40), prose(90 + k, 40)) for k in range(5)]
+    df = spark.createDataFrame([(k, f"http://r.org/{k}", page.format(*x)) for k, x in enumerate(texts)], "page_id long, url string, html string")
+    want = {k: f"{a}\nIngredients\n{b}\nMethod\n{c}" for k, (a, b, c) in enumerate(texts)}
+    assert {r.page_id: r.text for r in P.extracted(df).collect()} == want
+
+
+def test_classes_nest_or_the_rarer_one_goes():
+    place = lambda kind, place, support: P.Place(kind, place, support)
+    template = {1: place(1, 1, 9), 2: place(1, 9, 9), 3: place(2, 1, 5), 4: place(2, 2, 5), 5: place(3, 1, 4), 6: place(3, 2, 4)}
+    assert P.nested([1, 3, 0, 4, 2, 5, 6], template) == [0, 1, 3, 4, 5, 6]
+    assert P.nested([1, 3, 5, 4, 6, 2], template) == [0, 1, 3, 5]  # the third crosses the second
+    assert P.nested([3, 1, 4, 2], template) == [1, 3]
+    assert P.nested([1, 4, 3, 2], template) == [0, 3]  # not in the order of its class
+    assert P.nested([1, 3, 4, 2, 3], template) == [0, 3]
+
+
+def test_deep_and_broken_pages_are_read_in_linear_time():
+    import time
+
+    begin = time.process_time()
+    for page in ("<div>" * 60_000 + "end", "<a " * 100_000, "<b><div></div>" * 20_000, "<p><b>" * 40_000, "<script " * 50_000, "x < " * 100_000):
+        P.main_text(page, set())
+    assert time.process_time() - begin < 20
+    assert P.main_text("<div>" * 60_000 + "end", set()) == "end"
+    assert P.main_text("<p>a <!-- b > <c", set()) == "a"
