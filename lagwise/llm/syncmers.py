@@ -3,18 +3,29 @@
 A k-mer (``K`` code points) is chosen if the least of its inner s-mers (``S`` code points, compared
 by hash) stands at its first or its last place. The choice looks at nothing but the k-mer itself, so
 an edit moves no anchor outside the k-mers it touches: anchors of two texts can be matched with their
-positions. The fingerprint is the ``SKETCH`` least distinct hashes of the anchors, in hex; the
-likeness of two fingerprints is the share of common hashes among the least of both together, which
-is exact for texts of few anchors and an estimate of the anchors' Jaccard similarity otherwise.
-
-Edge cases: a null or empty text has no anchors and an empty fingerprint; two empty fingerprints are
-alike (1), an empty and a filled one are not (0). A text shorter than a k-mer is its own one anchor.
+positions.
+
+A fingerprint holds a hash of all anchors with their positions, their number, and anchors in the order of the
+text, each with its position and hash, the first of those that repeat. Of a text of up to ``WHOLE`` anchors
+these are all. Of longer ones every 2nd, 4th, ... is left out by its hash, so that their number grows with the
+root of the text's length; two fingerprints are compared at the coarser of their levels, where both hold
+the same choice of hashes. The likeness is the longest chain of shared anchors that stand in one order in both
+texts, over all anchors of the two: 1 for equal sequences of anchors alone, and lower for passages that
+are there but have changed places. For texts of up to ``WHOLE`` anchors it is exact, else an estimate.
+
+Edge cases: a null or empty text has no anchors and the fingerprint of none; two of these are alike (1), an
+empty and a filled one are not (0). A text shorter than a k-mer is its own one anchor. Very long texts are
+read ``PIECE`` code points at a time, so of them only the text itself and its anchors (16 bytes each, about one in
+four code points) are held. Equal rows have equal fingerprints; rows of one doc_id are ordered by a hash of
+the text. An empty table gives an empty one. Columns named like the fingerprint are replaced, others keep their values.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +35,31 @@ from pyspark.sql import types as T
 
 from lagwise.llm import words as W
 
-K, S, SKETCH = 12, 5, 96
+K, S, WHOLE = 12, 5, 128
 LEAST = -(1 << 63)
 #: Texts worked on at a time.
 ROWS = 256
+#: Code points looked at together.
+PIECE = 1 << 20
+#: Ranges that one pass of percentiles cuts ids into, and its accuracy.
+LEVEL, ACCURACY = 1000, 100_000
 _CODE = W.numbers(1, 41)[0] | np.uint64(1)
 
 
-def anchors(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (code points from 0) and 64-bit hashes of the closed syncmers of a text."""
-    codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+class Fingerprint(NamedTuple):
+    digest: int  # of all anchors with their positions
+    count: int  # of all anchors
+    at: np.ndarray  # positions of the anchors that are kept, ascending
+    hash: np.ndarray  # their hashes, all distinct
+
+    @property
+    def level(self) -> int:
+        """How often half of the anchors have been left out."""
+        return max(0, (self.count - 1) // WHOLE).bit_length() + 1 >> 1
+
+
+def _anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     size = len(codes)
     powers, inverses = W._power_tables(size + 1)
     sums = np.zeros(size + 1, dtype=np.uint64)
@@ -51,27 +77,67 @@ def anchors(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return at, W.mix((sums[at + K] - sums[at]) * inverses[at] + np.uint64(1))
 
 
-def sketch(text: str | None) -> np.ndarray:
-    """The least distinct anchor hashes, 32 bits of each, in order."""
-    hashes = (anchors(text)[1] >> np.uint64(32)).astype(np.uint32)
-    if len(hashes) > 8 * SKETCH:  # enough of the small ones to hold the least distinct
-        bound = np.partition(hashes, 4 * SKETCH)[4 * SKETCH]
-        few = np.unique(hashes[hashes <= bound])
-        if len(few) >= SKETCH:
-            return few[:SKETCH]
-    return np.unique(hashes)[:SKETCH]
-
-
-def write(values: np.ndarray) -> str:
-    return values.astype(">u4").tobytes().hex()
-
-
-def likeness(one: np.ndarray, other: np.ndarray) -> float:
-    """Common share among the least hashes of both."""
-    if not len(one) or not len(other):
-        return float(len(one) == len(other))
-    both = np.union1d(one, other)[:SKETCH]
-    return float(np.isin(both, one, assume_unique=True).dot(np.isin(both, other, assume_unique=True).astype(np.int64)) / len(both))
+def anchors(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (code points from 0) and 64-bit hashes of the closed syncmers of a text."""
+    text = text or ""
+    if len(text) <= PIECE + K:
+        return _anchors(text)
+    found = []
+    for start in range(0, len(text) - K + 1, PIECE):  # each k-mer starts in one piece
+        at, hashes = _anchors(text[start : start + PIECE + K - 1])
+        found.append((at + start, hashes))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _thinned(hashes: np.ndarray, level: int) -> np.ndarray:
+    """Places of the hashes that are kept at a level: the least of their range, one at least."""
+    kept = np.flatnonzero(hashes < np.uint64(1 << 32 >> level)) if level else np.arange(len(hashes))
+    return kept if len(kept) or not len(hashes) else np.flatnonzero(hashes == hashes.min())
+
+
+def sketch(text: str | None) -> Fingerprint:
+    at, hashes = anchors(text)
+    digest = int(np.sum(W.mix(hashes + W._BASE * (at.astype(np.uint64) + np.uint64(1))), dtype=np.uint64)) if len(at) else 0
+    whole = Fingerprint(digest, len(at), at, hashes >> np.uint64(32))
+    kept = _thinned(whole.hash, whole.level)
+    first = np.sort(np.unique(whole.hash[kept], return_index=True)[1])
+    return whole._replace(at=at[kept][first], hash=whole.hash[kept][first])
+
+
+def write(values: Fingerprint) -> str:
+    """Digest (16 digits), number of anchors (8), then position and hash of each anchor kept (8 each), in hex."""
+    pairs = np.stack([values.at.astype(np.uint64), values.hash], axis=1)
+    return f"{values.digest:016x}{values.count:08x}" + pairs.astype(">u4").tobytes().hex()
+
+
+def parse(written: str) -> Fingerprint:
+    pairs = np.frombuffer(bytes.fromhex(written[24:]), dtype=">u4").reshape(-1, 2)
+    return Fingerprint(int(written[:16], 16), int(written[16:24], 16), pairs[:, 0].astype(np.int64), pairs[:, 1].astype(np.uint64))
+
+
+def chain(places: np.ndarray) -> int:
+    """Length of the longest increasing chain of distinct places."""
+    if len(places) < 2 or (np.diff(places) > 0).all():
+        return len(places)
+    ends: list[int] = []
+    for place in places.tolist():
+        at = bisect_left(ends, place)
+        ends[at : at + 1] = [place]
+    return len(ends)
+
+
+def likeness(one: Fingerprint, other: Fingerprint) -> float:
+    """Anchors of the longest common chain over all anchors of both."""
+    if one.digest == other.digest and one.count == other.count:
+        return 1.0
+    if not one.count or not other.count:
+        return 0.0
+    level = max(one.level, other.level)
+    a, b = (f.hash[_thinned(f.hash, level)] for f in (one, other))
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    common = chain(j[np.argsort(i)])
+    # texts that differ are not wholly alike, even where the anchors kept are the same
+    return min(common / (len(a) + len(b) - common), 1 - 1 / (one.count + other.count))
 
 
 def match(one: str, other: str) -> np.ndarray:
@@ -150,6 +216,26 @@ def _edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def _splitters(rows: DataFrame, ranges: int, level: int = LEVEL) -> list[int]:
+    """Ids that cut the rows into about equal ``ranges``, by at most ``level`` in a pass, so accuracy needs not grow."""
+    def shares(count: int) -> list[float]:
+        return [k / count for k in range(1, count)]
+
+    if ranges <= level:
+        return rows.agg(F.percentile_approx("order", shares(ranges), ACCURACY)).first()[0] if ranges > 1 else []
+    coarse = np.array(sorted(set(_splitters(rows, level, level))), dtype=np.int64)
+    finer = -(-ranges // level)
+
+    def deal(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            yield pa.record_batch([pa.array(np.searchsorted(coarse, ids, side="left")), batch.column(0)], names=["part", "order"])
+
+    parts = rows.select("order").mapInArrow(deal, "part long, order long")
+    inner = parts.groupBy("part").agg(F.percentile_approx("order", shares(finer), ACCURACY).alias("ids")) if finer > 1 else None
+    return coarse.tolist() + [k for row in (inner.collect() if inner else []) for k in row["ids"]]
+
+
 def compare_with_edits(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", range_bytes: int = 32 << 20) -> DataFrame:
     """Fingerprint every text, its edited text and the next one's in falling order of doc_id.
 
@@ -165,10 +251,7 @@ def compare_with_edits(documents: DataFrame, text: str = "text", doc_id: str = "
     rows = documents.select(F.coalesce(own, F.lit(LEAST)).alias("order"), own.alias("doc_id"), content.alias("text"), F.xxhash64(content).alias("tie"))
     total, largest = rows.agg(F.sum(F.octet_length("text")), F.max("order")).first()
     ranges = int((total or 0) // range_bytes) + 1
-    splitters: list[int] = []
-    if ranges > 1:
-        shares = [k / ranges for k in range(1, ranges)]
-        splitters = sorted(set(rows.agg(F.percentile_approx("order", shares, 100 * ranges)).first()[0]) - {largest})
+    splitters = sorted(set(_splitters(rows, ranges)) - {largest})
     grid = np.array(splitters, dtype=np.int64)
     dealt = rows.mapInArrow(lambda b: _deal(b, grid, largest), "order long, doc_id long, text string, tie long, bucket int, role int")
     return (

@@ -36,10 +36,64 @@ def test_anchors_move_with_the_text():
     assert len(pairs) > 100 and set(pairs[:, 1] - pairs[:, 0]) == {22}
 
 
-def test_sketch_holds_the_least_of_all_anchors():
-    hashes = (S.anchors(LONG)[1] >> np.uint64(32)).astype(np.uint32)
-    assert S.sketch(LONG).tolist() == np.unique(hashes)[: S.SKETCH].tolist()
+def longest_chain(places):
+    best = []
+    for k, p in enumerate(places):
+        best.append(1 + max((best[m] for m in range(k) if places[m] < p), default=0))
+    return max(best, default=0)
+
+
+def first_places(text):
+    """Position of the first anchor of each hash (32 bits)."""
+    at, hashes = S.anchors(text)
+    out = {}
+    for place, value in zip(at.tolist(), (hashes >> np.uint64(32)).tolist()):
+        out.setdefault(value, place)
+    return out
+
+
+@pytest.mark.parametrize("one,other", [(1, 1), (20, 30), (5, 60), (60, 60), (2, 3)])
+def test_likeness_is_the_longest_common_chain(one, other):
+    words = prose(7, 60).split()
+    a, b = " ".join(words[:one]), " ".join(words[30:other] + words[:30])
+    first, second = first_places(a), first_places(b)
+    common = longest_chain([second[h] for h in sorted(first, key=first.get) if h in second])
+    want = 1.0 if a == b else common / max(len(first) + len(second) - common, 1)
+    found = S.likeness(S.sketch(a), S.sketch(b))
+    assert S.sketch(a).level == S.sketch(b).level == 0 and found == pytest.approx(want)
+    assert S.likeness(S.sketch(b), S.sketch(a)) == found
+
+
+def test_order_and_single_words_count():
+    words = prose(5, 4000).split()
+    text = " ".join(words)
+    own = S.sketch(text)
+    assert own.level > 0 and S.WHOLE < len(own.hash) < own.count
+    assert S.likeness(own, S.sketch(" ".join(words[2000:] + words[:2000]))) < 0.5
+    for k in range(0, 4000, 400):
+        changed = S.sketch(" ".join([*words[:k], "otherwise", *words[k + 1 :]]))
+        assert S.write(changed) != S.write(own) and 0.98 < S.likeness(own, changed) < 1
+    tail = S.sketch(" ".join([*words[:3000], *prose(6, 1000).split()]))
+    assert abs(S.likeness(own, tail) - 0.6) < 0.08
+
+
+def test_long_and_short_texts():
+    assert len(LONG) > 2 * S.PIECE
+    at, hashes = S.anchors(LONG)
+    whole = S._anchors(LONG)
+    assert at.tolist() == whole[0].tolist() and hashes.tolist() == whole[1].tolist()
+    back = S.parse(S.write(S.sketch(LONG)))
+    assert S.likeness(back, S.sketch(LONG)) == 1 and back.level == S.sketch(LONG).level and len(back.hash) > 1000
     assert S.likeness(S.sketch(""), S.sketch(None)) == 1 and S.likeness(S.sketch(""), S.sketch("x")) == 0
+    many, more = S.sketch("a" * 100_000), S.sketch("a" * 100_001)
+    assert len(many.hash) == 1 and 0.99 < S.likeness(many, more) < 1
+
+
+def test_splitters_of_two_levels(spark):
+    rows = spark.range(10_000).selectExpr("id * 3 AS order")
+    found = sorted(set(S._splitters(rows, 100, level=10)))
+    assert len(found) == 99 and max(abs(x - 300 * (k + 1)) for k, x in enumerate(found)) <= 30
+    assert S._splitters(rows, 1) == [] and len(S._splitters(rows, 10, level=10)) == 9
 
 
 def brute(rows):
