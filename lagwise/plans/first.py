@@ -17,6 +17,7 @@ from lagwise.operators.assemble import (
     star,
 )
 from lagwise.operators.calendar import trailing_rate
+from lagwise.operators.levels import design_rows, level_codes
 from lagwise.operators.lookback import entity_histories, entity_history
 from lagwise.operators.splits import training_mask
 from lagwise.plans import learners
@@ -353,18 +354,27 @@ def boosted_scores(
     return learners.probability(model, inputs, name, ["projectid", "date_posted"])
 
 
-def forest_scores(df: DataFrame, s: FirstSettings) -> DataFrame:
-    """(projectid, pred_et_v4) of the regression forest on the one-hot design matrix."""
-    keep = ["projectid", "split", "y"]
+def design(df: DataFrame) -> tuple[DataFrame, DataFrame, tuple[list[str], list[str]]]:
+    """Inputs of the design rows, the codes of their levels in train and val rows, and (terms, categories)."""
     inputs, numeric, categorical = learners.complete(
-        df, *learners.by_kind(MATRIX_FEATURES, CATEGORICAL), keep
+        df, *learners.by_kind(MATRIX_FEATURES, CATEGORICAL), ["projectid", "split", "y"]
+    )
+    stored = materialize(inputs, "design-inputs")
+    codes = level_codes(stored.filter(training_mask("split", include_validation=True)), categorical)
+    names = [f"{f}_cat" if f in CATEGORICAL else f"{f}_imp" for f in MATRIX_FEATURES]
+    return stored, codes, (names, categorical)
+
+
+def forest_scores(df: DataFrame, s: FirstSettings) -> DataFrame:
+    """(projectid, pred_et_v4) of the regression forest on sparse design rows."""
+    inputs, codes, places = design(df)
+    rows = design_rows(inputs, "projectid", *places, codes)
+    matrix = learners.stored_vectors(
+        inputs.select("projectid", "split", "y").join(rows, "projectid"), learners.FEATURES
     )
-    train = inputs.filter(training_mask("split", include_validation=True))
-    matrix, terms = learners.design_matrix(train, inputs, numeric, categorical)
-    columns = [f"x_{i}" for i in range(len(terms))]
     model = learners.fit(
         learners.coarse_forest("y", s.trees(TREES_FOREST), 2, s.forest_min_rows, s.forest_depth),
-        learners.tree_inputs(columns, []),
+        [],
         matrix.filter(training_mask("split", include_validation=True)),
     )
     return learners.regression(model, matrix, "pred_et_v4", ["projectid"])

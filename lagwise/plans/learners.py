@@ -13,10 +13,14 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lagwise.session import fresh_path
 
 FEATURES = "features"
 #: Cuts tried for a numeric input; categories with more levels raise it to their number.
@@ -105,6 +109,23 @@ def design_matrix(
     return df.withColumns({f"x_{i}": term for i, term in enumerate(terms.values())}), list(terms)
 
 
+def stored_vectors(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with (size, indices, values) as one sparse vector column, written once.
+
+    The table is stored with the vector's storage struct and read back as a vector column, so no
+    Python runs per row.
+    """
+    vector = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.col("size").cast("int").alias("size"),
+        F.col("indices").cast("array<int>").alias("indices"), F.col("values").alias("values"),
+    )
+    others = df.drop("size", "indices", "values")
+    path = fresh_path(df.sparkSession, "vectors")
+    df.select(*others.columns, vector.alias(name)).write.parquet(path)
+    schema = T.StructType([*others.schema.fields, T.StructField(name, VectorUDT())])
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def fit(estimator, stages: list, train: DataFrame) -> PipelineModel:
     """Fit stages and estimator; a tree gets at least as many bins as a category has levels."""
     named = [c for s in stages if isinstance(s, StringIndexer) for c in s.getInputCols()]

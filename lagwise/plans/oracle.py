@@ -13,6 +13,22 @@ from lagwise.plans import first, second
 TIE_SHIFT = 0.123
 
 
+#: Columns of the two feature tables, their money columns and the categories that get codes.
+SECOND_COLUMNS = list(dict.fromkeys([
+    *second.BOOSTED_FEATURES, *second.FOREST_FEATURES, *second.MATRIX_FEATURES, *second.LOG_FEATURES,
+    *second.LOGS, *(f"{c}_v2" for c in second.IMPUTED), "factor",
+]))
+FIRST_COLUMNS = list(dict.fromkeys([*first.TREE_FEATURES, *first.MATRIX_FEATURES]))
+MONEY = {
+    c for c in [*SECOND_COLUMNS, *FIRST_COLUMNS]
+    if not c.endswith("_ln") and ("price" in c or c.endswith(("item_amount_total", "y13_prev")) or c.startswith("optional"))
+}
+CODED = [
+    "teacher_prefix", "resource_type", "school_type_v2", "teacher_teach_for_america", "school_metro",
+    "secondary_focus_subject", "school_city", "teacher_acctid",
+]
+
+
 def _tf(condition: str) -> str:
     return f"CASE WHEN {condition} THEN 't' ELSE 'f' END"
 
@@ -252,8 +268,8 @@ def joined(parts: dict[str, str]) -> tuple[str, str]:
     return ctes, clause
 
 
-def shift_rounding(sql: str) -> str:
-    """Turn every round(x, n) into round((x) + shift, n), the rounding the queries use."""
+def each_round(sql: str, rewrite) -> str:
+    """Replace every round(x, n) by ``rewrite(x, n)``."""
     out, position = [], 0
     for match in re.finditer(r"(?<![a-z_])round\(", sql):
         if match.start() < position:
@@ -264,13 +280,30 @@ def shift_rounding(sql: str) -> str:
             if sql[end] == "," and depth == 1:
                 comma = end
             end += 1
-        digits = int(sql[comma + 1 : end - 1])
-        value = sql[match.end() : comma]
-        out.append(f"{sql[position:match.start()]}round(({value}) + {TIE_SHIFT * 10.0**-digits!r}")
-        position = comma
+        out.append(sql[position : match.start()])
+        out.append(rewrite(sql[match.end() : comma], int(sql[comma + 1 : end - 1])))
+        position = end
     return "".join(out) + sql[position:]
 
 
+def shift_rounding(sql: str) -> str:
+    """Turn every round(x, n) into round((x) + shift, n), the rounding the queries use."""
+    return each_round(sql, lambda x, n: f"round(({x}) + {TIE_SHIFT * 10.0**-n!r}, {n})")
+
+
+def unrounded(sql: str) -> str:
+    return each_round(sql, lambda x, n: f"({x})")
+
+
+def plain(names: list[str], categorical: set[str], source: str = "f") -> str:
+    """Categories as text, numbers as rounded doubles."""
+    return ", ".join(
+        f"CAST({source}.{n} AS VARCHAR) AS {n}" if n in categorical
+        else f"round(CAST({source}.{n} AS DOUBLE), {4 if n in MONEY else 6}) AS {n}"
+        for n in names
+    )
+
+
 def build() -> dict[str, str]:
     return {name: shift_rounding(text) for name, text in _build().items()}
 
@@ -849,4 +882,118 @@ def _build() -> dict[str, str]:
         f"""SELECT projectid, CAST(1 AS DOUBLE) AS x_0, coalesce(students_reached, 0) AS x_1, {hot}
         FROM (SELECT *, dayname(date_posted) AS weekday FROM projects)""", "projects",
     )
+
+    # second feature table: the single queries' SQL side by side, then imputed values and logs
+    parts = {
+        name: f"({unrounded(sql[name])})" for name in (
+            "ordinal_encode", "target_encode_noise", "calendar_counts", "lag_features", "prior_extremes",
+            "group_mean_back", "school_intensity", "donation_cumulative", "resource_window", "text_lengths",
+            "maturity_factor", "oof_union",
+        )
+    }
+    own = {
+        "days_since_prev_school_city": "date_diff('day', lag(d.date_posted) OVER (PARTITION BY d.school_city "
+        "ORDER BY d.date_posted, d.projectid), d.date_posted)",
+        "essay_tfidf": f"(SELECT {words.format(c='text')} / 1000 FROM documents WHERE doc_id = d.projectid)",
+        "school_type": "(SELECT s.school_type FROM schools s WHERE s.school_ncesid = d.school_ncesid)",
+    }
+    taken = {
+        "ordinal_encode": ["teacher_prefix_v2", "resource_type_v2", "school_type_v2", "school_type_v3",
+                           "teacher_teach_for_america_v2", "eligible_double_your_impact_match_v2",
+                           "eligible_almost_home_match_v2"],
+        "target_encode_noise": [e.name for e in second.ENCODINGS],
+        "calendar_counts": [f"cnt_{n}_{k}" for n in ("wk", "bwk", "mth") for k in suffixes],
+        "lag_features": ["days_since_prev_schoolid", "i_price_prev_dif_schoolid"],
+        "prior_extremes": ["i_price_school_city_cummax", "i_price_dec_over_min_school_zip"],
+        "group_mean_back": ["price_school_city", "optional_support_mean_school_city", "price_schoolid"],
+        "school_intensity": ["i_price_per_day_schoolid"],
+        "donation_cumulative": ["cnt_donations_teacher_acctid_cumsum", "cnt_donations_schoolid_cumsum"],
+        "resource_window": ["books_cnt"],
+        "text_lengths": ["title_cnt", "essay_cnt"],
+        "maturity_factor": ["factor"],
+    }
+    columns = [f"{name}.{c}" for name, cs in taken.items() for c in cs]
+    columns += [f"{expression} AS {name}" for name, expression in own.items()]
+    joins = "".join(f" LEFT JOIN {parts[n]} {n} ON {n}.projectid = d.projectid" for n in taken)
+    table_two = f"two AS (SELECT d.*, {', '.join(columns)} FROM d{joins})"
+    filled = ", ".join(
+        f"coalesce({c}, {v}) AS {c}_v2" for c, v in second.IMPUTED.items()
+    )
+    table_two += f", imputed AS (SELECT *, {filled} FROM two), f AS (SELECT *, " + ", ".join(
+        f"CASE WHEN {c} + {o} > 0 THEN ln({c} + {o}) END AS {name}" for name, (c, o) in second.LOGS.items()
+    ) + " FROM imputed)"
+    sql["second_features"] = with_tables(
+        f"SELECT projectid, {plain(SECOND_COLUMNS, second.CATEGORICAL)} FROM f", "d", "schools", extra=table_two
+    )
+    ranks = ", ".join(
+        f"CASE WHEN {c} IS NOT NULL THEN (SELECT count(DISTINCT CAST(g.{c} AS VARCHAR)) FROM g "
+        f"WHERE CAST(g.{c} AS VARCHAR) <= v.{c}) END AS {c}_code" for c in CODED
+    )
+    texts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in CODED)
+    sql["coded_matrix"] = with_tables(
+        f"SELECT projectid, {ranks} FROM v", "d", "schools",
+        extra=f"""g AS (SELECT d.*, coalesce(school_type, '_NA_') AS school_type_v2 FROM d
+            LEFT JOIN schools s ON d.school_ncesid = s.school_ncesid),
+          v AS (SELECT projectid, {texts} FROM g)""",
+    )
+
+    # first feature table and its design rows
+    length = {"title": clean("source"), "essay": clean("text")}
+    lengths = ", ".join(f"{words.format(c=c)} AS {n}_length" for n, c in length.items())
+    given = ", ".join(
+        f"coalesce(CASE WHEN doc_id % 2 = 0 THEN nullif({n}_length / 1000, 0) END, {n}_length / 2000) AS {n}_y_pp"
+        for n in length
+    )
+    read = f"""SELECT doc_id AS projectid, *, {given} FROM (SELECT doc_id, {lengths} FROM documents
+      WHERE doc_id IN (SELECT projectid FROM dated))"""
+    rates = [c for c in FIRST_COLUMNS if c.endswith("_prev_rate")]
+    shrunk = ["teacher_acctid_y_prev_rate_cred", "schoolid_y_prev_rate_cred_cap"]
+    wide = [
+        c for c in FIRST_COLUMNS
+        if c in first.resource_columns() or c.endswith(("_days", "_cnt", "y11_prev", "y12_prev", "y13_prev"))
+    ]
+    trail = """SELECT date_posted, lag(CASE WHEN n = 14 THEN s / c END) OVER (ORDER BY date_posted)
+        AS avg_biweekly_pred_v1 FROM (SELECT date_posted, count(*) OVER w AS n, sum(day_sum) OVER w AS s,
+          sum(day_cnt) OVER w AS c FROM days WHERE date_posted >= DATE '1995-09-01'
+          WINDOW w AS (ORDER BY date_posted ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))"""
+    mine = [f"star.{c}" for c in dict.fromkeys(wide)]
+    mine += [f"coalesce(rate.{c}, 0) AS {c}" for c in rates]
+    overall = "(SELECT avg(y) FROM labelled WHERE training_split IN ('train', 'val'))"
+    mine += [f"coalesce(cred.{shrunk[0]}, {overall}) AS {shrunk[0]}"]
+    mine += [f"coalesce(cred.{shrunk[1]}, least({overall}, 0.25)) AS {shrunk[1]}"]
+    table_one = f"""{score_days}, one AS (SELECT p.*, {', '.join(mine)}, dayname(p.date_posted) AS weekday,
+        coalesce(students_reached, 0) AS students_reached_imp,
+        coalesce({base} / nullif(students_reached, 0), 0) AS price_per_student_imp,
+        read.* EXCLUDE (projectid, doc_id), trail.avg_biweekly_pred_v1
+      FROM labelled p LEFT JOIN ({unrounded(sql['star_assemble'])}) star ON star.projectid = p.projectid
+        LEFT JOIN ({unrounded(sql['prior_rates'])}) rate ON rate.projectid = p.projectid
+        LEFT JOIN ({unrounded(sql['credibility_rate'])}) cred ON cred.projectid = p.projectid
+        LEFT JOIN ({read}) read ON read.projectid = p.projectid
+        LEFT JOIN ({trail}) trail ON trail.date_posted = p.date_posted)"""
+    sql["first_features"] = with_tables(
+        f"SELECT projectid, {plain(FIRST_COLUMNS, first.CATEGORICAL, 'one')} FROM one", "dated", extra=table_one
+    )
+    cells = ", ".join(
+        f"""{{'i': {i}, 'level': {f"coalesce({t}, '')" if t in first.CATEGORICAL else 'NULL'},
+          'value': {'1' if t in first.CATEGORICAL else f'coalesce(CAST({t} AS DOUBLE), -1)'}}}"""
+        for i, t in enumerate(first.MATRIX_FEATURES)
+    )
+    sql["design_rows"] = with_tables(
+        """SELECT projectid, (SELECT 1 + CAST(sum(n) AS INT) FROM width) AS size,
+          string_agg(place, ' ' ORDER BY place) AS places, round(sum(value * (place % 7 + 1)), 3) AS total
+        FROM (SELECT projectid, 0 AS place, CAST(1 AS DOUBLE) AS value FROM one UNION ALL
+          SELECT projectid, start + coalesce(code - 2, 0), value FROM long JOIN starts USING (i)
+            LEFT JOIN code USING (i, level)
+          WHERE value <> 0 AND (long.level IS NULL OR code > 1)) GROUP BY 1""",
+        "dated",
+        extra=f"""{table_one},
+          long AS (SELECT projectid, training_split, c.i AS i, c.level AS level, CAST(c.value AS DOUBLE) AS value
+            FROM (SELECT projectid, training_split, unnest([{cells}]) AS c FROM one)),
+          code AS (SELECT i, level, row_number() OVER (PARTITION BY i ORDER BY level) AS code FROM (
+            SELECT DISTINCT i, level FROM long WHERE level IS NOT NULL AND training_split IN ('train', 'val'))),
+          width AS (SELECT i, CASE WHEN bool_or(level IS NOT NULL) THEN
+            (SELECT count(*) - 1 FROM code WHERE code.i = long.i) ELSE 1 END AS n FROM long GROUP BY i),
+          starts AS (SELECT a.i, 1 + CAST(coalesce(sum(b.n), 0) AS INT) AS start
+            FROM width a LEFT JOIN width b ON b.i < a.i GROUP BY a.i)""",
+    )
     return sql

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagwise.functions import dates, scalars, text
-from lagwise.operators import assemble, calendar, encode, evaluate, lookback, lookup
+from lagwise.operators import assemble, calendar, encode, evaluate, levels, lookback, lookup
 from lagwise.operators import tfidf as terms
 from lagwise.operators.splits import training_mask
 from lagwise.plans import final, first, learners, oracle, second, text_scores
@@ -947,6 +947,97 @@ def text_score_oof(spark, folder):
     )
 
 
+# --- feature tables and design rows -----------------------------------------------------------
+
+
+def _plain(names: list[str], categorical: set[str]) -> list[Column]:
+    """Categories as text, numbers as rounded doubles: 4 digits for money, 6 for the rest."""
+    out = []
+    for name in names:
+        value = F.col(name)
+        if name in categorical:
+            out.append(value.cast("string").alias(name))
+        else:
+            out.append(rounded(value.cast("double"), 4 if name in oracle.MONEY else 6).alias(name))
+    return out
+
+
+def _features_two(spark, folder):
+    """The second plan's own feature table; words / 1000 of the routed essay take the place of its text score."""
+    loaded = fixtures.load(spark, folder)
+
+    def build():
+        docs = second.routed_essays(loaded, second.project_list(second.labelled(loaded, SECOND)))
+        score = docs.select("projectid", (text.word_count(F.col("essay")) / 1000).alias("essay_tfidf"))
+        return second.features(loaded, SECOND, second.token_counts(loaded.essays), score)
+
+    return stored(spark, folder, "second-features-plain", build)
+
+
+def _features_one(spark, folder):
+    """The first plan's own feature table with trailing means of a score taken from the price.
+
+    Words of the cleaned field take the place of its text scores: /1000 out of fold for even ids, /2000 else.
+    """
+    loaded = fixtures.load(spark, folder)
+
+    def build():
+        docs = loaded.essays.join(
+            loaded.projects.filter(posted() >= F.lit(FIRST.history_start)).select("projectid"), "projectid"
+        )
+        fields = [f.column for f in FIRST.text_fields]
+        words = docs.select(
+            "projectid", *[text.word_count(text.clean_text(F.col(c))).alias(f"{c}_length") for c in fields]
+        )
+        even = F.col("projectid") % 2 == 0
+        scores = words.withColumns(
+            {f"{c}_y_pred_partial": F.when(even, F.col(f"{c}_length") / 1000) for c in fields}
+            | {f"{c}_y_pred": F.col(f"{c}_length") / 2000 for c in fields}
+        )
+        derived = first.derive(first.assemble(loaded, FIRST, scores), loaded, FIRST)
+        paid = loaded.projects.select(
+            "projectid", "date_posted", (F.coalesce(F.col(PRICE), F.lit(0.0)) / 1000000).alias("pred_v1")
+        )
+        return first.stacked_inputs(derived, materialize(paid, "daily-score"), FIRST)
+
+    return stored(spark, folder, "first-features-plain", build)
+
+
+@query
+def second_features(spark, folder):
+    return _features_two(spark, folder).select(
+        "projectid", *_plain(oracle.SECOND_COLUMNS, second.CATEGORICAL)
+    )
+
+
+@query
+def first_features(spark, folder):
+    return _features_one(spark, folder).select(
+        "projectid", *_plain(oracle.FIRST_COLUMNS, first.CATEGORICAL)
+    )
+
+
+@query
+def coded_matrix(spark, folder):
+    df = _features_two(spark, folder)
+    codes = levels.level_codes(df, oracle.CODED)
+    return levels.coded(df, "projectid", oracle.CODED, codes)
+
+
+@query
+def design_rows(spark, folder):
+    """All 45 terms of the first plan's matrix; places as text and one sum of the values by place."""
+    df, codes, places = first.design(_features_one(spark, folder))
+    rows = levels.design_rows(df, "projectid", *places, codes)
+    cells = F.arrays_zip("indices", "values")
+    total = F.aggregate(
+        cells, F.lit(0.0), lambda sum_, c: sum_ + c["values"] * (c["indices"] % 7 + 1)
+    )
+    return rows.select(
+        "projectid", "size", F.array_join("indices", " ").alias("places"), rounded(total, 3).alias("total")
+    )
+
+
 # --- models ---------------------------------------------------------------------------------
 
 

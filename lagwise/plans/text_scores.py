@@ -8,11 +8,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.linalg import VectorUDT
+import numpy as np
+from pyspark.ml.feature import ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lagwise.functions.scalars import descending_fold, even_fold, uniform_from_id
 from lagwise.functions.text import letter_tokens, ngrams, rich_tokens
@@ -26,8 +26,8 @@ from lagwise.operators.tfidf import (
     term_index,
     tfidf_weights,
 )
-from lagwise.plans.learners import FEATURES, ITERATIONS, probability, text_logistic
-from lagwise.session import fresh_path, materialize
+from lagwise.plans.learners import FEATURES, ITERATIONS, probability, stored_vectors, text_logistic
+from lagwise.session import materialize
 
 
 @dataclass(frozen=True)
@@ -56,29 +56,29 @@ SECOND_SCHEME = (
 # ----------------------------------------------------------------------------------------
 
 
-def vectors(docs: DataFrame, doc: str, weights: DataFrame, size: int) -> DataFrame:
+#: Places of a vector are 32-bit integers.
+LARGEST_VOCABULARY = 2**31 - 1
+
+
+def vectors(docs: DataFrame, doc: str, weights: DataFrame, size: int, name: str = FEATURES) -> DataFrame:
     """Add the sparse vector of (term_id, weight) rows to every document, written once.
 
-    The table is stored with the vector's storage struct and read back as a vector column,
-    so no Python runs per row. Documents without a known term get the zero vector.
+    Documents without a known term get the zero vector. A vocabulary that does not fit the places of a vector is refused; raise the document floor then.
     """
+    if size > LARGEST_VOCABULARY:
+        raise ValueError(f"{size} terms; a vector holds {LARGEST_VOCABULARY} at most")
     packed = weights.groupBy(doc).agg(
         F.sort_array(
             F.collect_list(F.struct(F.col("term_id").cast("int").alias("_i"), F.col("weight").alias("_v")))
         ).alias("_terms")
     )
-    vector = F.struct(
-        F.lit(0).cast("tinyint").alias("type"),
+    joined = docs.join(packed, doc, "left").select(
+        *docs.columns,
         F.lit(max(size, 1)).alias("size"),
         F.coalesce(F.col("_terms._i"), F.array().cast("array<int>")).alias("indices"),
         F.coalesce(F.col("_terms._v"), F.array().cast("array<double>")).alias("values"),
     )
-    table = docs.join(packed, doc, "left").select(*docs.columns, vector.alias(FEATURES))
-    spark = docs.sparkSession
-    path = fresh_path(spark, "vectors")
-    table.write.parquet(path)
-    stored = T.StructType([*docs.schema.fields, T.StructField(FEATURES, VectorUDT())])
-    return spark.read.schema(stored).parquet(path)
+    return stored_vectors(joined, name)
 
 
 def score_fixed_vocabulary(
@@ -135,8 +135,9 @@ def score_refitted_vocabulary(
 
     Train rows are scored by the fit without their fold, validation rows by the fit on train,
     test rows by the fit on train and validation. ``split`` holds train, validation or test.
-    Document frequencies of all scopes come from one aggregation and one join. All scopes share
-    one term index; a term unknown to a scope has no weight in its vectors.
+    Document frequencies of all scopes come from one aggregation. All scopes read one stored table
+    of sublinear counts under one term index: a scope is a vector of weights per term, which scales
+    the counts inside its fit (see ``scope_scale``).
     """
     fold = F.when(
         F.col(split) == "train",
@@ -164,9 +165,11 @@ def score_refitted_vocabulary(
     frequencies = materialize(term_index(frequencies.filter(F.col("_rows") >= field.min_df)), "vocabulary")
     size = frequencies.count()
     sizes = base.agg(*[F.count(F.when(scope, 1)).alias(s) for s, scope in scopes.items()]).first()
-    known = materialize(
-        lookup_join(counts, frequencies, ["term"], doc, "_rows"), "terms-with-frequencies"
+    known = lookup_join(counts, frequencies.select("term", "term_id", "_rows"), ["term"], doc, "_rows")
+    weights = known.filter(F.col("term_id").isNotNull()).select(
+        doc, "term_id", sublinear_tf(F.col("tf")).alias("weight")
     )
+    table = vectors(base, doc, weights, size, "_counts")
 
     result = None
     for scope, member in scopes.items():
@@ -174,26 +177,31 @@ def score_refitted_vocabulary(
             target = F.col("_fold") == int(scope[4:])
         else:
             target = F.col("_split") == scope
-        chosen = base.filter(member | target)
-        weights = _scope_weights(known.filter(member | target), doc, f"df_{scope}", sizes[scope], field)
-        table = vectors(chosen, doc, weights, size)
-        model = text_logistic("_y", field.alpha, iterations).fit(table.filter(member))
-        scored = probability(model, table.filter(target), name, [doc])
+        scale = scope_scale(frequencies, f"df_{scope}", sizes[scope], field.min_df, size)
+        model = text_logistic("_y", field.alpha, iterations).fit(scaled(table.filter(member), scale))
+        scored = probability(model, scaled(table.filter(target), scale), name, [doc])
         result = scored if result is None else result.unionByName(scored)
     return result
 
 
-def _scope_weights(
-    known: DataFrame, doc: str, frequency: str, documents: int, field: TextField
-) -> DataFrame:
-    """Unit-length TF-IDF weights of one scope from counts that already carry frequencies."""
-    raw = known.filter(F.col(frequency) >= field.min_df).select(
-        doc,
-        "term_id",
-        (sublinear_tf(F.col("tf")) * smooth_idf(F.lit(documents), F.col(frequency))).alias("_w"),
-    )
-    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(doc)))
-    return raw.select(doc, "term_id", (F.col("_w") / length).alias("weight"))
+def scope_scale(frequencies: DataFrame, df: str, documents: int, floor: int, size: int) -> np.ndarray:
+    """Smooth idf per ``term_id``; 0 for a term found in fewer than ``floor`` documents of the scope.
+
+    The driver holds it as it holds the weights of the fit: 8 bytes per term, twice while the rows
+    arrive, for one scope at a time.
+    """
+    idf = F.when(F.col(df) >= floor, smooth_idf(F.lit(documents), F.col(df))).otherwise(0.0)
+    rows = frequencies.select("term_id", idf.alias("idf")).toArrow()
+    scale = np.zeros(max(size, 1))
+    scale[rows["term_id"].to_numpy()] = rows["idf"].to_numpy()
+    return scale
+
+
+def scaled(table: DataFrame, scale: np.ndarray) -> DataFrame:
+    """``table`` with ``_counts`` scaled per term and brought to unit length, all in MLlib."""
+    product = ElementwiseProduct(scalingVec=Vectors.dense(scale), inputCol="_counts", outputCol="_scaled")
+    unit = Normalizer(p=2.0, inputCol="_scaled", outputCol=FEATURES)
+    return unit.transform(product.transform(table)).drop("_counts", "_scaled")
 
 
 def score_columns(
