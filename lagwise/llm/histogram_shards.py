@@ -8,15 +8,20 @@ large group of equal texts) goes on over doc_id, so that a hot group is cut as w
 travels once, to the piece it belongs to; a shard has as many pieces as its size asks for, and a
 row's slot is the exact number of rows before its piece plus its place in it.
 
-Only counts reach the driver: a few numbers per candidate, whatever the number of rows.
+Only counts reach the driver: a few numbers per candidate, whatever the number of rows. A round has at
+most 65,536 candidates, or four per piece where there are more pieces than that allows, and each
+splitter looks at the candidates of its own bracket, so the driver's work grows with the pieces.
 
 Edge cases: a null text weighs nothing but its row's 1 and stands with the empty texts; a null
 doc_id sorts first. Rows that repeat both text and doc_id cannot be told apart and stay together.
-With fewer rows than shards some shards are empty.
+With fewer rows than shards some shards are empty, without rows all are. Texts are only hashed and
+measured before the exchange, so a very long one costs its own bytes and stands in a piece of its own.
+Columns named like the result's are replaced, those named like helper columns are set aside.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +36,8 @@ from lagwise.session import materialize
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 _TEXT_KEY, _ROW_KEY, _PIECE = "_text_key", "_row_key", "_piece"
 Key = tuple[int, int]
+#: Candidate boundaries of a round for all splitters together.
+GRID = 1 << 16
 
 
 def _bucket(text_keys: np.ndarray, row_keys: np.ndarray, probes: np.ndarray) -> np.ndarray:
@@ -72,7 +79,8 @@ class Bracket:
         self.high: Key | None = None  # above every key
         self.below_low, self.below_high = (0, 0), (total, count)  # bytes, rows
         self.seen: tuple[int, int, int, int] | None = None  # extreme keys inside
-        self.splitter: Key | None = None
+        self.found = False
+        self.splitter: Key | None = None  # once found: None stands above every key
         self.below: tuple[int, int] = (0, 0)
 
     def candidates(self, count: int) -> list[Key]:
@@ -86,24 +94,61 @@ class Bracket:
             return [(t0, r0 + (width * (k + 1) + count - 1) // count) for k in range(count)] if width else []
         return [(t0 + ((t1 - t0) * (k + 1) + count - 1) // count, LEAST) for k in range(count)]
 
-    def narrow(self, probes: list[Key], below: list[tuple[int, int]], inside: list[tuple | None]) -> None:
-        """Take in the exact counts below ordered probes; ``inside[k]`` describes what stands before probe k."""
-        for key, counts in zip(probes, below):
-            if counts[0] <= self.target and key > self.low:
-                self.low, self.below_low = key, counts
-            if counts[0] >= self.target and (self.high is None or key < self.high):
-                self.high, self.below_high = key, counts
+    def narrow(self, probes: list[Key], counts: "Counts") -> None:
+        """Take in the exact counts below ordered probes; only the probes inside the bracket are looked at."""
+        at = bisect.bisect_right(counts.bytes_below, self.target) - 1
+        if at >= 0 and probes[at] > self.low:
+            self.low, self.below_low = probes[at], counts.below(at)
+        at = bisect.bisect_left(counts.bytes_below, self.target)
+        if at < len(probes) and (self.high is None or probes[at] < self.high):
+            self.high, self.below_high = probes[at], counts.below(at)
         nearest = min((self.low, self.below_low), (self.high, self.below_high), key=lambda x: abs(x[1][0] - self.target))
-        held = [
-            x for k, x in enumerate(inside)
-            if x and k and probes[k - 1] >= self.low and (self.high is None or (k < len(probes) and probes[k] <= self.high))
-        ]
-        single = not held or self.below_high[1] - self.below_low[1] <= 1
-        if held:
-            self.seen = (min(x[0] for x in held), max(x[1] for x in held), min(x[2] for x in held), max(x[3] for x in held))
-            single |= self.seen[0] == self.seen[1] and self.seen[2] == self.seen[3]
+        first = bisect.bisect_left(probes, self.low) + 1
+        last = len(probes) if self.high is None else bisect.bisect_right(probes, self.high) - 1
+        held = counts.extremes(first, last)
+        single = held is None or self.below_high[1] - self.below_low[1] <= 1
+        if held is not None:
+            self.seen = held
+            single |= held[0] == held[1] and held[2] == held[3]
         if abs(nearest[1][0] - self.target) <= self.tolerance or single:
-            self.splitter, self.below = nearest
+            self.found, (self.splitter, self.below) = True, nearest
+
+
+class Counts:
+    """One round of the histogram: bucket k stands before probe k, the last one after all probes."""
+
+    def __init__(self, table: pa.Table, probes: int):
+        at = table["bucket"].to_numpy()
+        size, number = np.zeros(probes + 1, dtype=np.int64), np.zeros(probes + 1, dtype=np.int64)
+        size[at], number[at] = table["bytes"].to_numpy(), table["n"].to_numpy()
+        self.bytes_below, self.rows_below = (np.cumsum(x)[:-1].tolist() for x in (size, number))
+        self.sides = []
+        for name in ("t0", "t1", "r0", "r1"):
+            side = np.full(probes + 1, MOST if name[1] == "0" else LEAST)
+            side[at] = table[name].to_numpy()
+            self.sides.append(side.tolist())
+
+    def below(self, probe: int) -> tuple[int, int]:
+        return self.bytes_below[probe], self.rows_below[probe]
+
+    def extremes(self, first: int, last: int) -> tuple[int, int, int, int] | None:
+        """Least and largest text key and row key in the buckets ``first`` to ``last``; None if they are empty."""
+        if last < first:
+            return None
+        found = tuple(f(side[first : last + 1]) for f, side in zip((min, max, min, max), self.sides))
+        return found if found[0] <= found[1] else None
+
+
+def _next_probes(open_ones: list[Bracket], probes: int) -> list[Key]:
+    """Bounds and candidates of all open brackets in order.
+
+    Brackets that share their bounds share their candidates. The grid keeps to GRID keys, or to four a bracket
+    where there are more brackets than that allows.
+    """
+    apart_ones = list({(b.low, b.high): b for b in open_ones}.values())
+    each = max(2, min(probes, GRID // len(apart_ones)))
+    known = {key for b in apart_ones for key in (b.low, b.high) if key is not None}
+    return sorted(known | {key for b in apart_ones for key in b.candidates(each)})
 
 
 def find_splitters(keys: DataFrame, shards: int, pieces: int, tolerance: float, probes: int = 48) -> tuple[np.ndarray, np.ndarray]:
@@ -120,26 +165,19 @@ def find_splitters(keys: DataFrame, shards: int, pieces: int, tolerance: float,
     ]
     open_ones = wanted if count else []
     while open_ones:
-        known = {key for b in open_ones for key in (b.low, b.high) if key is not None}
-        tried = sorted(known | {key for b in open_ones for key in b.candidates(probes)})
+        tried = _next_probes(open_ones, probes)
         grid = np.array(tried, dtype=np.int64).reshape(-1, 2)
         rows = (
             keys.mapInArrow(lambda b, grid=grid: _histogram(b, grid), "bucket long, bytes long, n long, t0 long, t1 long, r0 long, r1 long")
             .groupBy("bucket")
             .agg(*[F.sum(c).alias(c) for c in ("bytes", "n")], *[(F.min if c[1] == "0" else F.max)(c).alias(c) for c in ("t0", "t1", "r0", "r1")])
-            .collect()
+            .toArrow()
         )
-        size, number = np.zeros(len(tried) + 1, dtype=np.int64), np.zeros(len(tried) + 1, dtype=np.int64)
-        inside: list[tuple | None] = [None] * (len(tried) + 1)
-        for r in rows:
-            size[r.bucket], number[r.bucket] = r["bytes"], r.n
-            inside[r.bucket] = (r.t0, r.t1, r.r0, r.r1)
-        below = list(zip(np.cumsum(size)[:-1].tolist(), np.cumsum(number)[:-1].tolist()))
+        counts = Counts(rows, len(tried))
         for b in open_ones:
-            b.narrow(tried, below, inside)
-        open_ones = [b for b in open_ones if b.splitter is None]
-    ends = [(b.splitter or (LEAST, LEAST), b.below) if count else ((LEAST, LEAST), (0, 0)) for b in wanted]
-    ends = [((MOST, MOST) if key is None else key, below) for key, below in ends]
+            b.narrow(tried, counts)
+        open_ones = [b for b in open_ones if not b.found]
+    ends = [((MOST, MOST) if b.splitter is None else b.splitter, b.below) for b in wanted]
     splitters = np.array([key for key, _ in ends], dtype=np.int64).reshape(-1, 2)
     return splitters, np.array([0] + [below[1] for _, below in ends], dtype=np.int64)
 

@@ -1,6 +1,8 @@
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lagwise.llm import histogram_shards as H
@@ -64,3 +66,63 @@ def test_buckets_are_those_of_bisection():
     keys = [(int(a), int(b)) for a, b in random.integers(0, 9, (200, 2))]
     found = H._bucket(np.array([k[0] for k in keys]), np.array([k[1] for k in keys]), np.array(probes))
     assert found.tolist() == [bisect.bisect_right(probes, k) for k in keys]
+
+
+def rounds_in_memory(text_keys, row_keys, sizes, wanted):
+    """``find_splitters`` without Spark: the rounds of the driver over one histogram."""
+    brackets = [H.Bracket(t, tolerance, int(sizes.sum()), len(sizes)) for t, tolerance in wanted]
+    open_ones, spent, largest = list(brackets), 0.0, 0
+    while open_ones:
+        start = time.process_time()
+        tried = H._next_probes(open_ones, 48)
+        spent += time.process_time() - start
+        largest = max(largest, len(tried))
+        grid = np.array(tried, dtype=np.int64)
+        batch = pa.record_batch([pa.array(text_keys), pa.array(row_keys), pa.array(sizes)], names=["t", "r", "s"])
+        table = pa.Table.from_batches(list(H._histogram(iter([batch]), grid)))
+        start = time.process_time()
+        counts = H.Counts(table, len(tried))
+        for b in open_ones:
+            b.narrow(tried, counts)
+        open_ones = [b for b in open_ones if not b.found]
+        spent += time.process_time() - start
+    return brackets, spent, largest
+
+
+def test_splitters_have_exact_counts_and_meet_their_tolerance():
+    random = np.random.default_rng(3)
+    text_keys = random.integers(H.LEAST, H.MOST, 20_000)
+    text_keys[:7000] = text_keys[0]  # a third of all rows is one text
+    row_keys, sizes = np.arange(20_000), random.integers(1, 900, 20_000)
+    wanted = [(sizes.sum() * k / 300, 0.2 * sizes.sum() / 300) for k in range(1, 300)]
+    brackets, _, _ = rounds_in_memory(text_keys, row_keys, sizes, wanted)
+    keys = list(zip(text_keys.tolist(), row_keys.tolist()))
+    for b in brackets:
+        below = np.array([k < b.splitter for k in keys])
+        assert b.below == (sizes[below].sum(), below.sum())
+        assert abs(b.below[0] - b.target) <= max(b.tolerance, sizes.max())
+
+
+def test_the_last_row_may_hold_most_bytes():
+    text_keys, row_keys, sizes = np.arange(100), np.arange(100), np.ones(100, dtype=np.int64)
+    sizes[99] = 10_000
+    brackets, _, _ = rounds_in_memory(text_keys, row_keys, sizes, [(10_099 * k / 4, 1.0) for k in range(1, 4)])
+    assert [(b.splitter, b.below) for b in brackets] == [((99, H.LEAST), (99, 99))] * 2 + [(None, (10_099, 100))]
+
+
+def test_one_very_long_text_among_short_ones(spark):
+    rows = [(k, f"short {k}") for k in range(40)] + [(99, "long " * 400_000)]
+    found = keyed(H.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 4)).collect()
+    assert len(found) == 41
+    check(found, 4, 2_000_001)
+
+
+def test_driver_work_grows_with_the_pieces():
+    random = np.random.default_rng(4)
+    text_keys, row_keys, sizes = random.integers(H.LEAST, H.MOST, 400_000), np.arange(400_000), np.ones(400_000, dtype=np.int64)
+    pieces = 20_000
+    wanted = [(400_000 * k / pieces, 0.2 * 400_000 / pieces) for k in range(1, pieces)]
+    brackets, spent, largest = rounds_in_memory(text_keys, row_keys, sizes, wanted)
+    print(f"{pieces} pieces: {spent:.1f} s in the driver, {largest} candidates at most")
+    assert largest <= H.GRID + 2 * pieces
+    assert spent < 20  # quadratic work took 43 s for 4,000 pieces
