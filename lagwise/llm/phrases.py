@@ -48,7 +48,7 @@ MOST_WORDS = 4
 STEP_SCHEMA = "h long, since int, length int, n long"
 SCHEMA = "lang string, length int, phrase string, n long"
 #: Bytes of text that a task looks at together; larger pieces leave fewer rows to sum.
-PIECE = 4 << 20
+PIECE = 2 << 20
 UNKNOWN = "und"
 
 #: Class of each byte: 0 between pieces, 1 between words, 2 in a word.
@@ -82,7 +82,7 @@ def _word_column(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Arr
     inside = np.zeros(len(data) + 1, dtype=np.int8)
     inside[begin] += 1
     inside[end] -= 1
-    kept = data[np.cumsum(inside[:-1]).astype(bool)]
+    kept = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
     offsets = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int64)
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(kept.tobytes())])
 
@@ -128,7 +128,9 @@ class Piece:
         begin = np.flatnonzero(kind[1:-1] & ~joined[:-1])
         end = np.flatnonzero(kind[1:-1] & ~joined[1:]) + 1
         of_text = np.searchsorted(starts, begin, side="right") - 1
-        self.part = np.concatenate([[0], np.cumsum(_PIECE_END[lowered])])[begin] + of_text
+        ends_before = np.zeros(len(data) + 1, dtype=np.int32)
+        np.cumsum(_PIECE_END[lowered], out=ends_before[1:])
+        self.part = ends_before[begin] + of_text
         coded = _word_column(lowered, begin, end).dictionary_encode()
         self.words = coded.dictionary
         self.code = np.asarray(coded.indices, dtype=np.int64)
