@@ -10,12 +10,14 @@ cycle, so each of its shards is counted once. Steps end one cycle after the last
 written once and each step reads one of them.
 
 What is active is told to the tasks by a table of ``SLOTS`` bytes, the same size for any corpus: the slot of
-a phrase's hash holds the earliest step at which a phrase of that slot reached the threshold. Between
-steps phrases are known by 64-bit hashes alone, which keeps what is shuffled narrow. A phrase that shares
+a phrase's hash holds the earliest step at which a phrase of that slot reached the threshold. Once a slot is taken its phrases
+are counted no further, since nothing more follows from their counts. Between steps a phrase is one number: 40 bits
+of its hash, its length and its step of activation, which keeps what is shuffled narrow. A phrase that shares
 its hash or slot with others may be activated before its time or taken for frequent, never the reverse. One last
-scan therefore counts, by the words themselves, the phrases whose slots are taken, so collisions change no
-result. A table that fills up prunes less and costs time only. Each step's table takes the place of the one
-before, and what a step shuffled is removed at its end.
+scan therefore counts, by the words themselves, the phrases whose slots and whose parts' slots are taken, so
+collisions change no result. A table that fills up prunes less, which costs time and what the last scan shuffles.
+Each step's table takes the place of the one before, without the phrases whose cycle has ended, and what a step
+shuffled is removed at its end.
 
 Tasks count with numpy what Spark deals out and Spark sums it: a task turns a bounded piece of text into
 word numbers and hashes, and writes the counts of the active phrases of that piece.
@@ -44,8 +46,10 @@ SLOTS = 1 << 23
 LATER = 255
 CHUNK = 1 << 16
 MOST_WORDS = 4
-#: ``h``: the phrase's hash, whose low bits are its slot; ``since``: the step at which it was activated
-STEP_SCHEMA = "h long, since int, length int, n long"
+#: ``h``: the phrase's number, see ``_number``
+STEP_SCHEMA = "h long, n long"
+HASH_BITS = 40
+SINCE_BIT = HASH_BITS + 2
 SCHEMA = "lang string, length int, phrase string, n long"
 #: Bytes of text that a task looks at together; larger pieces leave fewer rows to sum.
 PIECE = 2 << 20
@@ -56,7 +60,10 @@ _KINDS = np.full(256, 2, dtype=np.uint8)
 _KINDS[np.frombuffer(b" \t", dtype=np.uint8)] = 1
 _KINDS[np.frombuffer(b".,;:!?\n\x0b\x0c\r", dtype=np.uint8)] = 0
 _PIECE_END = _KINDS == 0
-_IN_WORD = _KINDS == 2
+#: Words of more bytes are hashed one by one.
+SHORT = 64
+#: The first 0 to 8 of eight bytes.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def _stretches(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -87,6 +94,12 @@ def _word_column(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Arr
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(kept.tobytes())])
 
 
+def _number(hashes: np.ndarray, length: int, since: np.ndarray) -> np.ndarray:
+    """Numbers of phrases: the low bits of the hash, which hold the slot, then length - 1, then the step of activation."""
+    low = hashes & np.uint64((1 << HASH_BITS) - 1)
+    return low | np.uint64((length - 1) << HASH_BITS) | since.astype(np.uint64) << np.uint64(SINCE_BIT)
+
+
 def _slot(hashes: np.ndarray, slots: int) -> np.ndarray:
     """Slots of a table whose size is a power of two."""
     return (hashes & np.uint64(slots - 1)).astype(np.int64)
@@ -110,34 +123,51 @@ def _byte_hashes(column: pa.Array) -> np.ndarray:
     _, offsets, buffer = column.buffers()
     ends = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(buffer, dtype=np.uint8) if buffer is not None else np.zeros(0, dtype=np.uint8)
-    powers, inverses = B._power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(B._CODES[data] * powers[: len(data)], out=sums[1:])
-    return B.mix((sums[ends[1:]] - sums[ends[:-1]]) * inverses[ends[:-1]])
+    return _word_hashes(data, ends[:-1], ends[1:])
+
+
+def _word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word, of eight bytes at a time; the bytes of words over ``SHORT`` are first summed up to one number."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    size = end - begin
+    total = B.mix(eights[begin] & _MASKS[np.minimum(size, 8)])
+    more = np.flatnonzero((size > 8) & (size <= SHORT))
+    for at in range(8, SHORT, 8):
+        more = more[size[more] > at]
+        total[more] = B.mix(total[more] + (eights[begin[more] + at] & _MASKS[np.minimum(size[more] - at, 8)]) * B._MULTIPLIERS[0])
+    for k in np.flatnonzero(size > SHORT).tolist():
+        word = data[begin[k] : end[k]]
+        total[k] = (B._CODES[word] * B._power_tables(len(word))[0][: len(word)]).sum(dtype=np.uint64)
+    return B.mix(total + size.astype(np.uint64) * B._MULTIPLIERS[1])
 
 
 class Piece:
-    """Words of a stretch of text: their numbers, hashes, languages and whether phrases of them are whole."""
+    """Words of a stretch of text: their hashes, languages and whether phrases of them are whole."""
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, texts: np.ndarray, langs: np.ndarray, seeds: np.ndarray):
-        lowered = B._LOWER[data]
+        text = data.tobytes()
+        self.lowered = np.frombuffer(text.translate(B._LOWER.tobytes()), dtype=np.uint8)
+        kinds = np.frombuffer(text.translate(_KINDS.tobytes()), dtype=np.uint8)
         kind = np.zeros(len(data) + 2, dtype=bool)
-        kind[1:-1] = _IN_WORD[lowered]
+        kind[1:-1] = kinds == 2
         joined = kind[1:] & kind[:-1]
         joined[starts[starts < len(data)]] = False
-        begin = np.flatnonzero(kind[1:-1] & ~joined[:-1])
-        end = np.flatnonzero(kind[1:-1] & ~joined[1:]) + 1
-        of_text = np.searchsorted(starts, begin, side="right") - 1
-        ends_before = np.zeros(len(data) + 1, dtype=np.int32)
-        np.cumsum(_PIECE_END[lowered], out=ends_before[1:])
-        self.part = ends_before[begin] + of_text
-        coded = _word_column(lowered, begin, end).dictionary_encode()
-        self.words = coded.dictionary
-        self.code = np.asarray(coded.indices, dtype=np.int64)
-        self.hash = _byte_hashes(coded.dictionary)[self.code]
+        self.begin = np.flatnonzero(kind[1:-1] & ~joined[:-1])
+        self.end = np.flatnonzero(kind[1:-1] & ~joined[1:]) + 1
+        of_text = np.searchsorted(starts, self.begin, side="right") - 1
+        before = np.searchsorted(self.begin, np.flatnonzero(kinds == 0))  # words before each piece's end
+        self.part = np.repeat(np.arange(len(before) + 1), np.diff(before, prepend=0, append=len(self.begin))) + of_text
+        self.hash = _word_hashes(self.lowered, self.begin, self.end)
         self.lang = langs[texts[of_text]]
         self.seed = seeds[self.lang]
 
+    def coded(self) -> tuple[pa.Array, np.ndarray]:
+        """The distinct words and the number of each place's word among them."""
+        coded = _word_column(self.lowered, self.begin, self.end).dictionary_encode()
+        return coded.dictionary, np.asarray(coded.indices, dtype=np.int64)
+
     def hashes(self, length: int) -> np.ndarray:
         """Hash of the ``length`` words from each place on; the last places have none."""
         last = max(len(self.hash) - length + 1, 0)
@@ -163,42 +193,50 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Piece, list[str]]
             yield Piece(*stretch, own, seeds), names
 
 
-def count_step(batches: Iterator[pa.RecordBatch], step: int, cycle: int, reached: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(hash, since, length, n) of the phrases that are active at this step."""
+def count_step(
+    batches: Iterator[pa.RecordBatch], step: int, cycle: int, reached: np.ndarray, all_active: bool = True
+) -> Iterator[pa.RecordBatch]:
+    """(number, n, since, length) of the phrases that are active at this step, or of those whose slots are not yet taken."""
     for piece, _ in _read(batches):
         # the step since which each place's phrase is active, LATER where it is not or is cut by a piece's end
-        since, hashes = np.zeros(len(piece.code), dtype=np.int64), piece.hashes(1)
+        since, hashes = np.zeros(len(piece.hash), dtype=np.uint8), piece.hashes(1)
         for length in range(1, MOST_WORDS + 1):
             if length > 1:
-                shorter = np.maximum(since, reached[_slot(hashes, len(reached))])
+                shorter = np.maximum(since, taken)
                 since, hashes = np.maximum(shorter[:-1], shorter[1:]), piece.hashes(length)
                 since[~piece.whole(length)] = LATER
-            places = np.flatnonzero((since <= step) & (step < since + cycle))
+            active = since <= step
+            if not active.any():
+                break  # a longer phrase is never active before its parts
+            taken = reached[_slot(hashes, len(reached))]
+            active &= since >= max(step - cycle + 1, 0)
+            places = np.flatnonzero(active if all_active else active & (taken == LATER))
             if len(places):
-                order = places[np.argsort(hashes[places])]
-                begins = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[0]]))
-                first = order[begins]
+                numbers = np.sort(_number(hashes[places], length, since[places]))
+                begins = np.flatnonzero(np.diff(numbers, prepend=~numbers[0]))
+                first = numbers[begins]
                 columns = [
-                    pa.array(hashes[first].view(np.int64)), pa.array(since[first].astype(np.int32)),
-                    pa.array(np.full(len(first), length, dtype=np.int32)), pa.array(np.diff(begins, append=len(order)).astype(np.int64)),
+                    pa.array(first.view(np.int64)), pa.array(np.diff(begins, append=len(numbers)).astype(np.int64)),
+                    pa.array((first >> np.uint64(SINCE_BIT)).astype(np.int32)), pa.array(np.full(len(first), length, dtype=np.int32)),
                 ]
-                yield pa.record_batch(columns, names=["h", "since", "length", "n"])
-            if not (since <= step).any():
-                break  # a longer phrase is never active before its parts
+                yield pa.record_batch(columns, names=["h", "n", "since", "length"])
 
 
 def count_taken(batches: Iterator[pa.RecordBatch], reached: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(lang, length, phrase, n) of the phrases whose slots are taken, and each language's words as length 0."""
+    """(lang, length, phrase, n) of the phrases whose slots and parts are taken, and each language's words as length 0."""
     for piece, names in _read(batches):
         totals = np.bincount(piece.lang, minlength=len(names))
         yield pa.record_batch(
             [pa.array(names, pa.string()), pa.array(np.zeros(len(names), dtype=np.int32)), pa.array([""] * len(names)), pa.array(totals)],
             names=["lang", "length", "phrase", "n"],
         )
-        texts = piece.words.cast(pa.large_string())
+        texts, code = piece.coded()
+        texts = texts.cast(pa.large_string())
         for length in range(1, MOST_WORDS + 1):
-            hashes = piece.hashes(length)
-            places = np.flatnonzero(piece.whole(length) & (reached[_slot(hashes, len(reached))] != LATER))
+            own = reached[_slot(piece.hashes(length), len(reached))] != LATER
+            # a frequent phrase has frequent parts, so what shares a frequent phrase's slot by chance seldom passes
+            taken = own if length == 1 else own & taken[:-1] & taken[1:] & piece.whole(length)
+            places = np.flatnonzero(taken)
             if not len(places):
                 break
             key, bound = piece.lang[places], len(names)
@@ -206,12 +244,12 @@ def count_taken(batches: Iterator[pa.RecordBatch], reached: np.ndarray) -> Itera
                 if bound * len(texts) >= 1 << 63:  # made dense, so that keys never pass 64 bits
                     key = np.unique(key, return_inverse=True)[1]
                     bound = len(key)
-                key = key * len(texts) + piece.code[places + k]
+                key = key * len(texts) + code[places + k]
                 bound *= len(texts)
             order = np.argsort(key)
             begins = np.flatnonzero(np.diff(key[order], prepend=-1))
             first, counts = places[order[begins]], np.diff(begins, append=len(order))
-            words = [texts.take(pa.array(piece.code[first + k])) for k in range(length)]
+            words = [texts.take(pa.array(code[first + k])) for k in range(length)]
             phrase = pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())) if length > 1 else words[0]
             columns = [
                 pa.array(names, pa.string()).take(pa.array(piece.lang[first])), pa.array(np.full(len(first), length, dtype=np.int32)),
@@ -232,11 +270,11 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _mark(reached: np.ndarray, frequent: DataFrame, step: int) -> bool:
-    """Enter ``step`` in the still empty slots of these phrases; whether longer phrases may follow from them."""
+    """Enter ``step`` in the still empty slots of these phrase numbers; whether longer phrases may follow from them."""
     slot = F.col("h").bitwiseAND(F.lit(len(reached) - 1)).cast("int")
-    longest = (F.col("length") == MOST_WORDS).cast("int")
+    longest = (F.shiftright("h", HASH_BITS).bitwiseAND(F.lit(3)) == MOST_WORDS - 1).cast("int")
     slots = frequent.select(slot.alias("slot"), ((slot / CHUNK).cast("int") * 2 + longest).alias("chunk"))
-    maps = slots.repartition(16, "chunk").mapInArrow(_bitmaps, "chunk int, bits binary")
+    maps = slots.repartition("chunk").mapInArrow(_bitmaps, "chunk int, bits binary")
     found = False
     for row in maps.collect():  # at most 2 * SLOTS / CHUNK rows of CHUNK bits
         at, last = divmod(row["chunk"], 2)
@@ -266,18 +304,17 @@ def phrase_counts(
     step, last = 0, shards - 1
     while step <= last:
         told = context.broadcast(reached)
-        run = (lambda table, now: lambda batches: count_step(batches, now, shards, table.value))(told, step)
+        run = (lambda table, now: lambda batches: (b.select([0, 1]) for b in count_step(batches, now, shards, table.value, False)))(told, step)
         found = rows.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(run, STEP_SCHEMA)
         if open_counts is not None:
             found = found.unionByName(open_counts)
-        # phrases of one hash are taken together, so what is known of each is what keeps it open longest
-        latest = [F.max(c).alias(c) for c in ("since", "length")]
-        counts, stored = replace_stored(found.groupBy("h").agg(*latest, F.sum("n").alias("n")), "phrases-open", stored)
+        # what has reached the threshold, or is yet to reach it and still in its cycle
+        frequent, still = F.col("n") >= threshold, F.shiftright("h", SINCE_BIT) + shards > step + 1
+        counts, stored = replace_stored(found.groupBy("h").agg(F.sum("n").alias("n")).where(frequent | still), "phrases-open", stored)
         told.destroy()
-        if _mark(reached, counts.where(F.col("n") >= threshold), step + 1):
+        if _mark(reached, counts.where(frequent), step + 1):
             last = step + shards
-        # what is yet to reach the threshold and still in its cycle
-        open_counts = counts.where((F.col("n") < threshold) & (F.col("since") + shards > step + 1))
+        open_counts = counts.where(~frequent)
         step += 1
     told = context.broadcast(reached)
     taken = rows.select("lang", "text").mapInArrow(lambda batches: count_taken(batches, told.value), SCHEMA)

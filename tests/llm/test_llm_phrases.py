@@ -120,3 +120,55 @@ def test_odd_rows_and_empty_table(spark):
     assert P.collocations(empty_documents(spark)).collect() == []
     found = P.collocations(odd_documents(spark, False), threshold=3, shards=2).collect()
     assert found and {r.lang for r in found} <= {"en", "und"}
+
+
+def test_last_scan_leaves_out_phrases_with_an_infrequent_part(spark):
+    """A phrase whose slot is taken by chance is not shuffled when one of its parts is not frequent."""
+    batch = pa.record_batch([pa.array(["en"]), pa.array(["a b c"])], names=["lang", "text"])
+    reached = np.full(P.SLOTS, P.LATER, dtype=np.uint8)
+    seed = np.array([P.lang_seed("en")])
+    words = [P._byte_hashes(pa.array([w], pa.large_binary())) for w in (b"a", b"b", b"c")]
+    for phrase in ([0], [1], [0, 1], [1, 2], [0, 1, 2]):  # not c, so "b c" and "a b c" only share a slot
+        reached[P._slot(P.combined([words[k] for k in phrase], seed), P.SLOTS)] = 1
+    found = [r["phrase"] for out in P.count_taken([batch], reached) for r in out.to_pylist() if r["length"]]
+    assert sorted(found) == ["a", "a b", "b"]
+
+
+def test_steps_store_two_numbers_and_no_closed_phrase(spark, monkeypatch):
+    stored, plain = [], P.replace_stored
+
+    def kept(df, label, old=None):
+        table, path = plain(df, label, old)
+        if label == "phrases-open":
+            stored.append((table.columns, table.collect()))
+        return table, path
+
+    monkeypatch.setattr(P, "replace_stored", kept)
+    rows = made_up(4, 80)
+    found = P.phrase_counts(spark.createDataFrame(rows, "lang string, text string"), 6, shards=2).where("length > 0").collect()
+    expected = {(lang, p): n for lang, f in brute_counts(rows).items() for p, n in f.items() if n >= 6}
+    assert {(r.lang, tuple(r.phrase.split(" "))): r.n for r in found} == expected
+    assert all(columns == ["h", "n"] for columns, _ in stored)
+    for step, (_, numbers) in enumerate(stored):
+        assert all(r.n >= 6 or (r.h >> P.SINCE_BIT) + 2 > step + 1 for r in numbers)
+
+
+def test_a_step_leaves_out_phrases_whose_slots_are_taken():
+    batch = pa.record_batch([pa.array(["en"]), pa.array(["a b a"])], names=["lang", "text"])
+    reached = np.full(P.SLOTS, P.LATER, dtype=np.uint8)
+    word = P._byte_hashes(pa.array([b"a"], pa.large_binary()))
+    reached[P._slot(P.combined([word], np.array([P.lang_seed("en")])), P.SLOTS)] = 1
+    found = [r for out in P.count_step([batch], 1, 4, reached, False) for r in out.to_pylist()]
+    assert [(r["length"], r["n"]) for r in found] == [(1, 1)]  # b
+
+
+def test_word_hashes_of_any_length_do_not_depend_on_place():
+    rng = np.random.default_rng(3)
+    words = [rng.integers(97, 123, size, dtype=np.uint8) for size in [*range(0, 140), 5000]]
+    words += [np.append(w[:-1], w[-1] ^ 1) for w in words if len(w)]
+    ends = np.cumsum([len(w) for w in words])
+    begins = ends - [len(w) for w in words]
+    found = P._word_hashes(np.concatenate(words), begins, ends)
+    alone = [P._word_hashes(w, np.array([0]), np.array([len(w)]))[0] for w in words]
+    assert found.tolist() == [int(h) for h in alone]
+    assert len(set(found.tolist())) == len({w.tobytes() for w in words})
