@@ -44,6 +44,8 @@ from lagwise.session import fresh_path, remove, replace_stored
 
 SLOTS = 1 << 23
 LATER = 255
+#: A slot that only phrases of ``MOST_WORDS`` words have reached: it activates nothing and is still open to shorter ones.
+LONGEST = 254
 CHUNK = 1 << 16
 MOST_WORDS = 4
 #: ``h``: the phrase's number, see ``_number``
@@ -210,7 +212,7 @@ def count_step(
                 break  # a longer phrase is never active before its parts
             taken = reached[_slot(hashes, len(reached))]
             active &= since >= max(step - cycle + 1, 0)
-            places = np.flatnonzero(active if all_active else active & (taken == LATER))
+            places = np.flatnonzero(active if all_active else active & (taken >= (LONGEST if length < MOST_WORDS else LATER)))
             if len(places):
                 numbers = np.sort(_number(hashes[places], length, since[places]))
                 begins = np.flatnonzero(np.diff(numbers, prepend=~numbers[0]))
@@ -280,8 +282,8 @@ def _mark(reached: np.ndarray, frequent: DataFrame, step: int) -> bool:
         at, last = divmod(row["chunk"], 2)
         bits = np.unpackbits(np.frombuffer(row["bits"], dtype=np.uint8)).astype(bool)
         own = reached[at * CHUNK : (at + 1) * CHUNK]
-        fresh = bits & (own == LATER)
-        own[fresh] = step
+        fresh = bits & (own >= (LATER if last else LONGEST))
+        own[fresh] = LONGEST if last else step
         found |= not last and bool(fresh.any())
     return found
 
@@ -292,7 +294,7 @@ def phrase_counts(
     """(lang, length, phrase, n) of all phrases of 1 to 4 words that occur ``threshold`` times.
 
     A row of length 0 has the number of all words of its language. ``slots`` is a power of two of at least
-    CHUNK; four cycles of ``shards`` steps must stay below 255.
+    CHUNK; four cycles of ``shards`` steps must stay below 254.
     """
     spark = docs.sparkSession
     staged = fresh_path(spark, "phrase-shards")

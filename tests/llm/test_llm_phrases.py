@@ -172,3 +172,19 @@ def test_word_hashes_of_any_length_do_not_depend_on_place():
     alone = [P._word_hashes(w, np.array([0]), np.array([len(w)]))[0] for w in words]
     assert found.tolist() == [int(h) for h in alone]
     assert len(set(found.tolist())) == len({w.tobytes() for w in words})
+
+
+def test_a_slot_taken_by_the_longest_phrases_stays_open_to_shorter_ones(spark):
+    """Else the cycle could end before phrases that follow from the shorter one were counted in every shard."""
+    reached = np.full(P.CHUNK, P.LATER, dtype=np.uint8)
+    slot, numbers = np.array([5], dtype=np.uint64), {}
+    for length in (2, 4):
+        numbers[length] = int(P._number(slot, length, np.array([1], dtype=np.uint8))[0])
+    frequent = lambda length: spark.createDataFrame([(numbers[length], 9)], "h long, n long")
+    assert not P._mark(reached, frequent(4), 3) and reached[5] == P.LONGEST
+    assert P._mark(reached, frequent(2), 4) and reached[5] == 4
+    assert not P._mark(reached, frequent(4), 5) and reached[5] == 4
+    batch = pa.record_batch([pa.array(["en"]), pa.array(["a b"])], names=["lang", "text"])
+    only = np.full(P.CHUNK, P.LONGEST, dtype=np.uint8)
+    assert [[r["length"], r["n"]] for out in P.count_step([batch], 0, 4, only, False) for r in out.to_pylist()] == [[1, 1], [1, 1]]
+    assert not list(P.count_step([batch], 4, 4, only, False))
